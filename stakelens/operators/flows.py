@@ -92,11 +92,15 @@ def attribute_amounts(
     Output: tx_id, days, legs, entries, staked.
     """
     amount_legs = [_is(leg.msg_type, leg.amount_keys) for leg in legs]
-    uses = F.array(
+    micro = F.col("micro")
+    moves = F.array(
         *[
             F.when(
-                matches,
-                F.struct(F.lit(1 << bit).alias("leg"), F.lit(leg.sign).alias("sign")),
+                matches & (micro < F.lit(MICRO_BOUND)),
+                F.struct(
+                    F.lit(1 << bit).alias("leg"),
+                    (-micro if leg.sign < 0 else micro).alias("staked"),
+                ),
             )
             for bit, (leg, matches) in enumerate(zip(legs, amount_legs, strict=True))
         ]
@@ -104,20 +108,12 @@ def attribute_amounts(
     amounts = (
         attributes.filter(_any_of(amount_legs))
         .withColumn("denom", C.denomination("attribute_value"))
-        .filter(F.col("denom").isNotNull())
         .withColumn("micro", C.micro_amount("attribute_value", "denom"))
-        .filter(F.col("micro") < F.lit(MICRO_BOUND))
-        .select("block_timestamp", "tx_id", "denom", "micro", F.explode(uses).alias("use"))
-        .filter(F.col("use").isNotNull())
-        .select(
-            "block_timestamp",
-            "tx_id",
-            "denom",
-            F.when(F.col("use.sign") < 0, -F.col("micro"))
-            .otherwise(F.col("micro"))
-            .alias("staked"),
-            F.col("use.leg").alias("leg"),
-        )
+        # Unparsable and out-of-bound amounts are dropped here, not by a filter on
+        # the parsed columns: Spark would push that down and parse twice.
+        .select("block_timestamp", "tx_id", "denom", F.explode(moves).alias("move"))
+        .filter(F.col("move").isNotNull())
+        .select("block_timestamp", "tx_id", "denom", "move.staked", "move.leg")
     )
     return (
         amounts.groupBy("tx_id", "block_timestamp", "denom", "staked")

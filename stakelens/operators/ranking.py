@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,6 +39,10 @@ def _slice(value: str) -> Column:
     return (F.signum(number) * magnitude).cast("int")
 
 
+def _all_set(*names: str) -> Column:
+    return reduce(and_, [F.col(name).isNotNull() for name in names])
+
+
 def stake_levels(positions: DataFrame) -> DataFrame:
     """Rank and prefix sum of every distinct stake of a period, largest first.
 
@@ -53,11 +60,12 @@ def stake_levels(positions: DataFrame) -> DataFrame:
     levels = (
         positions.groupBy("days", "cum")
         .agg(F.count("*").alias("validators"), F.sum("flow").alias("flow"))
-        # Always true. It makes both readers of the levels need the same columns,
-        # so that Spark shuffles them once and reuses that for the second reader.
-        .filter(F.col("flow").isNotNull())
         .withColumn("slice", _slice("cum"))
         .withColumn("stake", F.col("cum") * F.col("validators"))
+        # The joins below would drop NULL keys anyway, and the sums are never NULL.
+        # Saying so here gives both readers of the levels the same columns and
+        # filters, so that Spark shuffles them once and reuses the exchange.
+        .filter(_all_set("days", "slice", "flow"))
     )
     slices = (
         levels.groupBy("days", "slice")
@@ -66,11 +74,7 @@ def stake_levels(positions: DataFrame) -> DataFrame:
             F.sum("stake").alias("stake"),
             F.sum("flow").alias("flow"),
         )
-        .filter(
-            F.col("validators").isNotNull()
-            & F.col("stake").isNotNull()
-            & F.col("flow").isNotNull()
-        )
+        .filter(_all_set("validators", "stake", "flow"))
     )
     per_period = slices.groupBy("days").agg(F.sum("flow").alias("flow"))
     totals = per_period.select(

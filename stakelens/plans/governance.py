@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from stakelens.functions import columns as C
 from stakelens.operators import debut as db
 from stakelens.operators import ranking as rk
+from stakelens.operators import skew as sk
 from stakelens.sources.tables import ChainTables
 from stakelens.spec import ChainSpec
 
@@ -27,16 +28,11 @@ def proposals_weekly(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     return weekly.withColumn("cum_proposals", rk.running_total(weekly, "weeks", "new_proposals"))
 
 
-def newcomer_debuts(tables: ChainTables, spec: ChainSpec) -> DataFrame:
-    """Day each voter counts as new from: voter, debut.
+def validator_debuts(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+    """First day anyone staked with a validator, by the account it votes with.
 
-    Either the voter's own first vote, or for a validator's account the first
-    staking action on that validator in the network's denom.
+    Only staking in the network's denom counts. Output: voter, debut.
     """
-    if spec.newcomer != "validator":
-        return db.first_seen(tables.votes, "voter", "voter").withColumn(
-            "debut", F.to_date("debut")
-        )
     staked = db.first_seen(
         tables.staking.filter(F.col("currency") == spec.denom), "validator_address", "address"
     )
@@ -50,17 +46,31 @@ def newcomer_debuts(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
 
 
-def voters_by_type(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def voters_by_type(
+    tables: ChainTables, spec: ChainSpec, rows_per_task: int = sk.ROWS_PER_TASK
+) -> DataFrame:
     """Distinct voters and voting transactions per day, newcomers apart.
 
-    A voter with very many votes skews the join on one side only, where adaptive
-    execution splits the partition. Output: date, type, voters, votes.
+    A voter is new from its own first vote, or, where newcomers are validators,
+    from the first staking action on that validator.
+    Output: date, type, voters, votes.
     """
-    votes = tables.votes.select(
+    votes = tables.votes.filter(F.col("voter").isNotNull()).select(
         F.to_date("block_timestamp").alias("date"), "voter", "tx_id"
     )
+    per_voter = votes.groupBy("voter").agg(
+        F.min("date").alias("first_vote"), F.count("*").alias("rows")
+    )
+    if spec.newcomer == "validator":
+        debuts = per_voter.drop("first_vote").join(validator_debuts(tables, spec), "voter")
+    else:
+        # The filter holds for every voter. It keeps the date in both uses of this
+        # table, which then share one shuffle.
+        debuts = per_voter.withColumnRenamed("first_vote", "debut").filter(
+            F.col("debut").isNotNull()
+        )
     return (
-        votes.join(newcomer_debuts(tables, spec), "voter")
+        sk.join_split(votes, debuts, "voter", spread_by="tx_id", rows_per_task=rows_per_task)
         .groupBy("date", C.tenure("debut", "date", spec.newcomer).alias("type"))
         .agg(
             F.countDistinct("voter").alias("voters"),
@@ -82,7 +92,7 @@ def avg_votes_per_voter(tables: ChainTables, spec: ChainSpec) -> DataFrame:
         .agg(F.countDistinct("tx_id").alias("votes"))
     )
     if spec.newcomer == "validator":
-        voter_days = voter_days.join(newcomer_debuts(tables, spec), "voter")
+        voter_days = voter_days.join(validator_debuts(tables, spec), "voter")
     else:
         # The first vote is the earliest of these days: no second read of the votes.
         voter_days = voter_days.withColumn(
@@ -182,6 +192,7 @@ def participants_vs_active(tables: ChainTables, spec: ChainSpec) -> DataFrame:
         )
     )
     active = db.appeared_before(tables.votes, "voter")
-    return proposals.join(active, "date").select(
+    # At most one row per calendar day between the first and the last vote.
+    return proposals.join(F.broadcast(active), "date").select(
         "date", "proposal_id", "votes", "participants", F.col("entities").alias("active_users")
     )
