@@ -72,71 +72,64 @@ def typed_flows(
     )
 
 
-def _is(msg_type: str, keys: tuple[str, ...]) -> Column:
-    return (F.col("msg_type") == msg_type) & F.col("attribute_key").isin(*keys)
+def _legs_set(matches: dict[int, Column]) -> Column:
+    """Bit set of the conditions that hold."""
+    bits = [F.when(match, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, match in matches.items()]
+    return reduce(lambda left, right: left.bitwiseOR(right), bits, F.lit(0))
 
 
-def _any_of(conditions: list[Column]) -> Column:
-    return reduce(or_, conditions)
+def _is(msg_type: str, keys: tuple[str, ...]) -> Column:
+    return (F.col("msg_type") == msg_type) & F.col("attribute_key").isin(*keys)
 
 
-def attribute_amounts(
-    attributes: DataFrame, legs: tuple[AttributeLeg, ...], grain: str
-) -> DataFrame:
-    """What one transaction moves, per period and set of legs it moves it through.
+def attribute_entries(attributes: DataFrame, legs: tuple[AttributeLeg, ...]) -> DataFrame:
+    """What each transaction moves and which validators it names, without repeats.
 
-    ``legs`` in the output is a bit set over the configured legs. An amount equal
-    in time, denomination and sign counts once per transaction, however many
-    messages repeat it, which is what merging the legs' rows amounts to.
+    ``legs`` is a bit set: bit ``i`` for an amount of leg ``i``, bit ``n + i`` for a
+    validator of it, of ``n`` legs. An amount equal in time, denomination and sign
+    is one entry however many messages repeat it, and a validator is one entry;
+    merging the legs' rows comes to the same.
 
-    Output: tx_id, days, legs, entries, staked.
+    Output: tx_id, block_timestamp, name (denomination or validator), staked, legs.
     """
-    amount_legs = [_is(leg.msg_type, leg.amount_keys) for leg in legs]
+    n = len(legs)
+    paid = [_is(leg.msg_type, leg.amount_keys) for leg in legs]
+    named = [_is(leg.msg_type, (leg.validator_key,)) for leg in legs]
+    outbound = _legs_set({i: paid[i] for i in range(n) if legs[i].sign < 0})
+    inbound = _legs_set({i: paid[i] for i in range(n) if legs[i].sign > 0})
+    validator = _legs_set({n + i: named[i] for i in range(n)})
     micro = F.col("micro")
-    moves = F.array(
-        *[
-            F.when(
-                matches & (micro < F.lit(MICRO_BOUND)),
-                F.struct(
-                    F.lit(1 << bit).alias("leg"),
-                    (-micro if leg.sign < 0 else micro).alias("staked"),
-                ),
-            )
-            for bit, (leg, matches) in enumerate(zip(legs, amount_legs, strict=True))
-        ]
+
+    def entry(when: Column, legs: Column, time: Column, name: Column, staked: Column) -> Column:
+        return F.when(
+            (legs != 0) & when,
+            F.struct(
+                time.alias("block_timestamp"),
+                name.alias("name"),
+                staked.alias("staked"),
+                legs.alias("legs"),
+            ),
+        )
+
+    time, denom = F.col("block_timestamp"), F.col("denom")
+    no_time = F.lit(None).cast(attributes.schema["block_timestamp"].dataType)
+    bounded = micro < F.lit(MICRO_BOUND)
+    entries = F.array(
+        entry(bounded, outbound, time, denom, -micro),
+        entry(bounded, inbound, time, denom, micro),
+        entry(F.lit(True), validator, no_time, F.col("attribute_value"), F.lit(None).cast(C.MICRO)),
     )
-    amounts = (
-        attributes.filter(_any_of(amount_legs))
+    return (
+        attributes.filter(reduce(or_, paid + named))
         .withColumn("denom", C.denomination("attribute_value"))
         .withColumn("micro", C.micro_amount("attribute_value", "denom"))
         # Unparsable and out-of-bound amounts are dropped here, not by a filter on
         # the parsed columns: Spark would push that down and parse twice.
-        .select("block_timestamp", "tx_id", "denom", F.explode(moves).alias("move"))
-        .filter(F.col("move").isNotNull())
-        .select("block_timestamp", "tx_id", "denom", "move.staked", "move.leg")
-    )
-    return (
-        amounts.groupBy("tx_id", "block_timestamp", "denom", "staked")
-        .agg(F.bit_or("leg").alias("legs"))
-        .groupBy("tx_id", C.period("block_timestamp", grain).alias("days"), "legs")
-        .agg(F.count("*").alias("entries"), F.sum("staked").alias("staked"))
-    )
-
-
-def attribute_validators(attributes: DataFrame, legs: tuple[AttributeLeg, ...]) -> DataFrame:
-    """Validators a transaction names, with the set of legs it names them in.
-
-    Output: tx_id, validator, legs.
-    """
-    named = [_is(leg.msg_type, (leg.validator_key,)) for leg in legs]
-    bits = reduce(
-        lambda left, right: left.bitwiseOR(right),
-        [F.when(match, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, match in enumerate(named)],
-    )
-    return (
-        attributes.filter(_any_of(named))
-        .groupBy("tx_id", F.col("attribute_value").alias("validator"))
-        .agg(F.bit_or(bits).alias("legs"))
+        .select("tx_id", F.explode(entries).alias("entry"))
+        .filter(F.col("entry").isNotNull())
+        .select("tx_id", "entry.*")
+        .groupBy("tx_id", "block_timestamp", "name", "staked")
+        .agg(F.bit_or("legs").alias("legs"))
     )
 
 
@@ -148,16 +141,30 @@ def attribute_legs(
     Within a transaction every amount of a leg applies to every validator of that
     leg. Joining amounts to validators would emit all those pairs only to add them
     up again; here the amounts are added up first, so a transaction of ``a``
-    amounts and ``v`` validators costs ``a + v`` rows instead of ``a * v``.
+    amounts and ``v`` validators costs ``a + v`` rows instead of ``a * v``. If a
+    transaction is hot, its validators are, on one side of the join: adaptive
+    execution splits that partition.
 
     Output: tx_id, days, validator, entries, staked, one row per set of legs.
     """
-    amounts = attribute_amounts(attributes, legs, grain)
-    validators = attribute_validators(attributes, legs)
+    n = len(legs)
+    # Both halves select on the aggregated bit set, which cannot be pushed below the
+    # aggregation, and so share its scan and its shuffle.
+    entries = attribute_entries(attributes, legs)
+    amount_legs = F.col("legs").bitwiseAND(F.lit((1 << n) - 1))
+    validator_legs = F.shiftright("legs", n)
+    amounts = (
+        entries.filter(amount_legs != 0)
+        .groupBy("tx_id", C.period("block_timestamp", grain).alias("days"), "legs")
+        .agg(F.count("*").alias("entries"), F.sum("staked").alias("staked"))
+        .withColumnRenamed("legs", "paid")
+    )
+    validators = entries.filter(validator_legs != 0).select(
+        "tx_id", F.col("name").alias("validator"), validator_legs.alias("named")
+    )
     return (
-        validators.alias("v")
-        .join(amounts.alias("a"), "tx_id")
-        .filter(F.col("a.legs").bitwiseAND(F.col("v.legs")) != 0)
+        validators.join(amounts, "tx_id")
+        .filter(F.col("paid").bitwiseAND(F.col("named")) != 0)
         .select("tx_id", "days", "validator", "entries", "staked")
     )
 

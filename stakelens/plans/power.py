@@ -101,14 +101,17 @@ def power_share(
 def power_share_normalized(
     tables: ChainTables, spec: ChainSpec, levels: DataFrame | None = None
 ) -> DataFrame:
-    """``power_share`` with each period's bands scaled to add up to one.
+    """``power_share`` with each period's bands scaled to fill the whole.
 
+    Bands count by magnitude, as a normalised stacked area draws them; that matters
+    only where validators with negative stake outweigh the rest of their band.
     Output: days, ranks, power_share, power_share_normalized.
     """
     share = power_share(tables, spec, levels)
-    of_period = F.sum("power_share").over(W.partitionBy("days"))
+    of_period = F.sum(F.abs("power_share")).over(W.partitionBy("days"))
     return share.withColumn(
-        "power_share_normalized", F.round(F.try_divide("power_share", of_period), 9)
+        "power_share_normalized",
+        F.round(F.try_divide(F.abs("power_share"), of_period), 9),
     )
 
 

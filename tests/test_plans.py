@@ -12,7 +12,7 @@ from stakelens.operators import flows
 from stakelens.plans import governance as gov
 from stakelens.plans import power
 from tests.helpers import tables
-from tests.test_properties import random_staking, random_votes
+from tests.test_properties import random_attributes, random_staking, random_votes
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -55,6 +55,19 @@ def test_the_staking_table_is_read_once_and_pruned(spark, tmp_path):
     assert "unused" not in text
 
 
+def test_the_attribute_log_is_read_once_and_pruned(spark, tmp_path):
+    path = str(tmp_path / "attributes")
+    t = tables(spark, msg_attributes=random_attributes(1))
+    t.msg_attributes.withColumn("unused", F.lit("x")).write.parquet(path)
+    attributes = spark.read.parquet(path)
+    with conf(spark, spark_sql_adaptive_enabled="false"):
+        text = plan(flows.attribute_flows(attributes, COSMOS.power_legs, "month"))
+    assert text.count("FileScan") == 1
+    assert "ReusedExchange" in text
+    assert "msg_type" in text.split("PushedFilters")[1]
+    assert "unused" not in text
+
+
 def test_ranking_reads_the_flows_once(spark):
     t = tables(spark, staking=random_staking(2))
     with conf(spark, spark_sql_adaptive_enabled="false"):
