@@ -13,7 +13,7 @@ def join_split(
     large: DataFrame,
     unique: DataFrame,
     key: str,
-    spread_by: str,
+    spread_by: list[str],
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Inner join that splits keys too frequent for one task.
@@ -21,6 +21,8 @@ def join_split(
     ``unique`` has one row per key and, as ``rows``, how often the key is in
     ``large``. Rows of a hot key go to one of its parts by a hash of ``spread_by``,
     and its row in ``unique`` is copied to every part; other keys have one part.
+    Should a part still be too large, adaptive execution splits it: both sides are
+    shuffled for this join alone.
 
     The list of hot keys is broadcast. Each stands for more than ``rows_per_task``
     rows of ``large``, so a table of 10^12 rows has at most 200,000 of them.
@@ -28,7 +30,7 @@ def join_split(
     sized = unique.withColumn("parts", F.ceil(F.col("rows") / rows_per_task).cast("int"))
     hot = sized.filter(F.col("rows") > rows_per_task).select(key, "parts")
     split = large.join(F.broadcast(hot), key, "left").withColumn(
-        "part", F.pmod(F.xxhash64(spread_by), F.coalesce("parts", F.lit(1))).cast("int")
+        "part", F.pmod(F.xxhash64(*spread_by), F.coalesce("parts", F.lit(1))).cast("int")
     )
     copied = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return split.drop("parts").join(copied.drop("parts", "rows"), [key, "part"]).drop("part")

@@ -56,7 +56,7 @@ def voters_by_type(
     Output: date, type, voters, votes.
     """
     votes = tables.votes.filter(F.col("voter").isNotNull()).select(
-        F.to_date("block_timestamp").alias("date"), "voter", "tx_id"
+        F.to_date("block_timestamp").alias("date"), "voter", "tx_id", "proposal_id"
     )
     per_voter = votes.groupBy("voter").agg(
         F.min("date").alias("first_vote"), F.count("*").alias("rows")
@@ -70,7 +70,7 @@ def voters_by_type(
             F.col("debut").isNotNull()
         )
     return (
-        sk.join_split(votes, debuts, "voter", spread_by="tx_id", rows_per_task=rows_per_task)
+        sk.join_split(votes, debuts, "voter", ["tx_id", "proposal_id"], rows_per_task)
         .groupBy("date", C.tenure("debut", "date", spec.newcomer).alias("type"))
         .agg(
             F.countDistinct("voter").alias("voters"),

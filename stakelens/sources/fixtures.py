@@ -6,15 +6,25 @@ queries read these instead. Each function reads its whole base table.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stakelens.sources.tables import ChainTables
 from stakelens.spec import ChainSpec
 
 
+@cache
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema from the file footers, looked up once: each lookup is a Spark job."""
+    return spark.read.parquet(path).schema
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _micro():

@@ -11,6 +11,7 @@ from stakelens import COSMOS, OSMOSIS
 from stakelens.operators import flows
 from stakelens.plans import governance as gov
 from stakelens.plans import power
+from stakelens.sources.tables import ChainTables
 from tests.helpers import tables
 from tests.test_properties import random_attributes, random_staking, random_votes
 
@@ -109,19 +110,20 @@ def _hot_attributes(spark):
     return named.unionByName(paid), n
 
 
+# Sizes at which a few thousand rows count as a skewed partition.
+SMALL_SKEW = {
+    "spark_sql_adaptive_autoBroadcastJoinThreshold": "-1",
+    "spark_sql_autoBroadcastJoinThreshold": "-1",
+    "spark_sql_adaptive_skewJoin_skewedPartitionThresholdInBytes": "1k",
+    "spark_sql_adaptive_skewJoin_skewedPartitionFactor": "2",
+    "spark_sql_adaptive_advisoryPartitionSizeInBytes": "16k",
+    "spark_sql_adaptive_coalescePartitions_enabled": "false",
+}
+
+
 def test_a_hot_transaction_costs_no_pairs_and_its_partition_is_split(spark):
     attributes, n = _hot_attributes(spark)
-    with conf(
-        spark,
-        **{
-            "spark_sql_adaptive_autoBroadcastJoinThreshold": "-1",
-            "spark_sql_autoBroadcastJoinThreshold": "-1",
-            "spark_sql_adaptive_skewJoin_skewedPartitionThresholdInBytes": "1k",
-            "spark_sql_adaptive_skewJoin_skewedPartitionFactor": "2",
-            "spark_sql_adaptive_advisoryPartitionSizeInBytes": "32k",
-            "spark_sql_adaptive_coalescePartitions_enabled": "false",
-        },
-    ):
+    with conf(spark, **SMALL_SKEW):
         got = flows.attribute_flows(attributes, COSMOS.power_legs, "month")
         text = plan(got, run=True)
         by_validator = {r["validator"]: int(r["flow"]) for r in got.collect()}
@@ -133,6 +135,27 @@ def test_a_hot_transaction_costs_no_pairs_and_its_partition_is_split(spark):
     assert by_validator["v25000"] == 25001
 
 
+def test_validators_tied_at_one_stake_are_split(spark):
+    n = 40000
+    ids = spark.range(n, numPartitions=8)
+    staking = ids.select(
+        F.timestamp_seconds(F.lit(1675000000)).alias("block_timestamp"),
+        F.col("id").cast("string").alias("tx_id"),
+        F.lit("delegate").alias("action"),
+        F.concat(F.lit("v"), "id").alias("validator_address"),
+        F.lit(None).cast("string").alias("redelegate_source_validator_address"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") + 10).cast("decimal(38,0)")
+        .alias("amount"),
+        F.lit("uosmo").alias("currency"),
+    )
+    table = power.power_table(ChainTables(staking=staking), OSMOSIS)
+    with conf(spark, **SMALL_SKEW):
+        text = plan(table, run=True)
+        lowest = table.filter("cum = 5e-6").agg(F.count("*"), F.min("rank"), F.max("rank"))
+        assert tuple(lowest.first()) == (13334, n, n)
+    assert "skew=true" in text
+
+
 def test_hot_voters_are_split_by_transaction(spark):
     t = tables(spark, votes=random_votes(1))
     text = plan(gov.voters_by_type(t, COSMOS))
