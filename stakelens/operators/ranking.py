@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Slices per factor of ten; one slice holds values within about 0.2 % of each other.
-SLICES_PER_DECADE = 1000
+# Slices per factor of ten; one slice holds values within about 0.02 % of each other.
+SLICES_PER_DECADE = 10_000
 
 
 def running_total(per_period: DataFrame, period: str, value: str) -> Column:
@@ -53,7 +53,8 @@ def stake_levels(positions: DataFrame) -> DataFrame:
 
     A window over a period would sort all its validators in one task. Instead
     equal stakes become one row, rows are cut into slices by magnitude, and each
-    slice starts from the count and sum of the slices above it.
+    slice starts from the count and sum of the slices above it. The number of slices
+    in a period depends on the range of its stakes, not on how many there are.
 
     Output: days, cum, validators, rank, run, total.
     """

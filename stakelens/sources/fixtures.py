@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stakelens.sources.tables import ChainTables
+from stakelens.sources.tables import ChainTables, required_tables
 from stakelens.spec import ChainSpec
 
 
@@ -165,14 +165,16 @@ def address_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chain_tables(spark: SparkSession, sf_dir: str, spec: ChainSpec) -> ChainTables:
-    return ChainTables(
-        staking=staking(spark, sf_dir, spec.denom) if spec.staking == "typed" else None,
-        msg_attributes=(
-            msg_attributes(spark, sf_dir) if spec.staking == "attributes" else None
-        ),
-        votes=votes(spark, sf_dir),
-        proposal_deposits=proposal_deposits(spark, sf_dir),
-        transactions=transactions(spark, sf_dir, spec.wallet_column),
-        labels=address_labels(spark, sf_dir),
-    )
+def chain_tables(
+    spark: SparkSession, sf_dir: str, spec: ChainSpec, *names: str
+) -> ChainTables:
+    """The named inputs of a network, or all that its metrics read."""
+    makers = {
+        "staking": lambda: staking(spark, sf_dir, spec.denom),
+        "msg_attributes": lambda: msg_attributes(spark, sf_dir),
+        "votes": lambda: votes(spark, sf_dir),
+        "proposal_deposits": lambda: proposal_deposits(spark, sf_dir),
+        "transactions": lambda: transactions(spark, sf_dir, spec.wallet_column),
+        "labels": lambda: address_labels(spark, sf_dir),
+    }
+    return ChainTables(**{name: makers[name]() for name in names or required_tables(spec)})

@@ -1,5 +1,6 @@
 """Stake flows and concentration on rows worked out by hand."""
 
+import random
 from dataclasses import replace
 from datetime import date
 from decimal import Decimal
@@ -208,14 +209,32 @@ def test_amounts_beyond_the_bound_of_the_negative_legs(spark):
     assert rows(power.stake_flows(t, TERRA), "flow") == [(-3,)]
 
 
-def test_levels_of_negative_zero_and_huge_stakes(spark):
-    stakes = [-(10**30), -5, -5, 0, 0, 1, 2, 999, 1000, 1001, 10**18, 10**30]
+CROWD = [-(10**30), -5, -5, 0, 0, 1, 2, 999, 10**18, 10**30, *range(10**6, 10**6 + 900, 3)]
+
+
+def test_levels_of_negative_zero_huge_and_crowded_stakes(spark):
     positions = spark.createDataFrame(
-        [(D, str(i), Decimal(s)) for i, s in enumerate(stakes)],
+        [(D, str(i), Decimal(s)) for i, s in enumerate(CROWD)],
         "days date, validator string, cum decimal(38,0)",
     ).withColumn("flow", F.col("cum"))
-    got = {int(r["cum"]): (r["rank"], int(r["run"])) for r in ranking.stake_levels(positions).collect()}
+    levels = ranking.stake_levels(positions).collect()
+    got = {int(r["cum"]): (r["rank"], int(r["run"])) for r in levels}
     want = {
-        s: (sum(o >= s for o in stakes), sum(o for o in stakes if o >= s)) for s in stakes
+        s: (sum(o >= s for o in CROWD), sum(o for o in CROWD if o >= s)) for s in CROWD
     }
     assert got == want
+
+
+def test_slices_never_fall_as_stakes_rise(spark):
+    rng = random.Random(1)
+    stakes = sorted(
+        sign * rng.randrange(10**digits) + step
+        for sign in (-1, 1)
+        for digits in range(1, 37)
+        for step in (0, 1)
+        for _ in range(20)
+    )
+    df = spark.createDataFrame([(Decimal(s),) for s in stakes], "cum decimal(38,0)")
+    slices = [r[1] for r in df.select("cum", ranking._slice("cum")).collect()]
+    assert slices == sorted(slices)
+    assert len(set(slices)) > 1000
