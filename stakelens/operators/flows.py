@@ -72,63 +72,58 @@ def typed_flows(
     )
 
 
+def _is(msg_type: str, keys: tuple[str, ...]) -> Column:
+    return (F.col("msg_type") == msg_type) & F.col("attribute_key").isin(*keys)
+
+
 def _legs_set(matches: dict[int, Column]) -> Column:
-    """Bit set of the conditions that hold."""
-    bits = [F.when(match, F.lit(1 << bit)).otherwise(F.lit(0)) for bit, match in matches.items()]
+    """Bit set of the legs whose condition holds."""
+    bits = [F.when(match, F.lit(1 << leg)).otherwise(F.lit(0)) for leg, match in matches.items()]
     return reduce(lambda left, right: left.bitwiseOR(right), bits, F.lit(0))
 
 
-def _is(msg_type: str, keys: tuple[str, ...]) -> Column:
-    return (F.col("msg_type") == msg_type) & F.col("attribute_key").isin(*keys)
+def _overlap(left: Column, right: Column) -> Column:
+    return left.bitwiseAND(right) != 0
 
 
 def attribute_entries(attributes: DataFrame, legs: tuple[AttributeLeg, ...]) -> DataFrame:
     """What each transaction moves and which validators it names, without repeats.
 
-    ``legs`` is a bit set: bit ``i`` for an amount of leg ``i``, bit ``n + i`` for a
-    validator of it, of ``n`` legs. An amount equal in time, denomination and sign
-    is one entry however many messages repeat it, and a validator is one entry;
-    merging the legs' rows comes to the same.
+    An amount equal in time, denomination and size is one entry however many
+    messages repeat it, and so is a validator; merging the legs' rows comes to the
+    same. ``legs`` holds three bit sets of ``n`` legs: those through which an amount
+    is added, those through which it is taken away, and those a validator is named in.
 
-    Output: tx_id, block_timestamp, name (denomination or validator), staked, legs.
+    Output: tx_id, block_timestamp, name (denomination or validator), size, legs.
     """
     n = len(legs)
     paid = [_is(leg.msg_type, leg.amount_keys) for leg in legs]
     named = [_is(leg.msg_type, (leg.validator_key,)) for leg in legs]
-    outbound = _legs_set({i: paid[i] for i in range(n) if legs[i].sign < 0})
-    inbound = _legs_set({i: paid[i] for i in range(n) if legs[i].sign > 0})
-    validator = _legs_set({n + i: named[i] for i in range(n)})
+    outbound = _legs_set({i: paid[i] for i, leg in enumerate(legs) if leg.sign < 0})
+    inbound = _legs_set({i: paid[i] for i, leg in enumerate(legs) if leg.sign > 0})
     micro = F.col("micro")
-
-    def entry(when: Column, legs: Column, time: Column, name: Column, staked: Column) -> Column:
-        return F.when(
-            (legs != 0) & when,
-            F.struct(
-                time.alias("block_timestamp"),
-                name.alias("name"),
-                staked.alias("staked"),
-                legs.alias("legs"),
-            ),
-        )
-
-    time, denom = F.col("block_timestamp"), F.col("denom")
-    no_time = F.lit(None).cast(attributes.schema["block_timestamp"].dataType)
-    bounded = micro < F.lit(MICRO_BOUND)
-    entries = F.array(
-        entry(bounded, outbound, time, denom, -micro),
-        entry(bounded, inbound, time, denom, micro),
-        entry(F.lit(True), validator, no_time, F.col("attribute_value"), F.lit(None).cast(C.MICRO)),
-    )
+    is_amount, is_validator = reduce(or_, paid), reduce(or_, named)
     return (
-        attributes.filter(reduce(or_, paid + named))
-        .withColumn("denom", C.denomination("attribute_value"))
+        attributes.filter(is_amount | is_validator)
+        .withColumn("denom", F.when(is_amount, C.denomination("attribute_value")))
         .withColumn("micro", C.micro_amount("attribute_value", "denom"))
-        # Unparsable and out-of-bound amounts are dropped here, not by a filter on
-        # the parsed columns: Spark would push that down and parse twice.
-        .select("tx_id", F.explode(entries).alias("entry"))
-        .filter(F.col("entry").isNotNull())
-        .select("tx_id", "entry.*")
-        .groupBy("tx_id", "block_timestamp", "name", "staked")
+        .select(
+            "tx_id",
+            F.when(is_amount, F.col("block_timestamp")).alias("block_timestamp"),
+            F.when(is_amount, F.col("denom")).otherwise(F.col("attribute_value")).alias("name"),
+            F.abs(micro).alias("size"),
+            # An amount below zero turns its legs round. One that does not parse or is
+            # out of bounds has no legs: it drops out after the aggregation, as a
+            # filter here would be pushed below the parsing and parse twice.
+            F.when(is_validator, F.shiftleft(_legs_set(dict(enumerate(named))), 2 * n))
+            .when(micro >= MICRO_BOUND, 0)
+            .when(micro > 0, inbound.bitwiseOR(F.shiftleft(outbound, n)))
+            .when(micro < 0, outbound.bitwiseOR(F.shiftleft(inbound, n)))
+            .when(micro == 0, inbound.bitwiseOR(outbound))
+            .otherwise(0)
+            .alias("legs"),
+        )
+        .groupBy("tx_id", "block_timestamp", "name", "size")
         .agg(F.bit_or("legs").alias("legs"))
     )
 
@@ -145,27 +140,36 @@ def attribute_legs(
     transaction is hot, its validators are, on one side of the join: adaptive
     execution splits that partition.
 
-    Output: tx_id, days, validator, entries, staked, one row per set of legs.
+    Output: tx_id, days, validator, entries, staked; one row per combination of legs.
     """
     n = len(legs)
-    # Both halves select on the aggregated bit set, which cannot be pushed below the
+    every = (1 << n) - 1
+    # Both halves select on the aggregated bit sets, which cannot be pushed below the
     # aggregation, and so share its scan and its shuffle.
     entries = attribute_entries(attributes, legs)
-    amount_legs = F.col("legs").bitwiseAND(F.lit((1 << n) - 1))
-    validator_legs = F.shiftright("legs", n)
+    moved, named = F.col("legs").bitwiseAND((1 << 2 * n) - 1), F.shiftright("legs", 2 * n)
     amounts = (
-        entries.filter(amount_legs != 0)
-        .groupBy("tx_id", C.period("block_timestamp", grain).alias("days"), "legs")
-        .agg(F.count("*").alias("entries"), F.sum("staked").alias("staked"))
-        .withColumnRenamed("legs", "paid")
+        entries.filter(moved != 0)
+        .groupBy("tx_id", C.period("block_timestamp", grain).alias("days"), moved.alias("moved"))
+        .agg(F.count("*").alias("amounts"), F.sum("size").alias("size"))
+        .withColumn("plus", F.col("moved").bitwiseAND(every))
+        .withColumn("minus", F.shiftright("moved", n))
     )
-    validators = entries.filter(validator_legs != 0).select(
-        "tx_id", F.col("name").alias("validator"), validator_legs.alias("named")
+    validators = entries.filter(named != 0).select(
+        "tx_id", F.col("name").alias("validator"), named.alias("named")
     )
+    added = _overlap(F.col("plus"), F.col("named")).cast("int")
+    taken = _overlap(F.col("minus"), F.col("named")).cast("int")
     return (
         validators.join(amounts, "tx_id")
-        .filter(F.col("paid").bitwiseAND(F.col("named")) != 0)
-        .select("tx_id", "days", "validator", "entries", "staked")
+        .filter(added + taken > 0)
+        .select(
+            "tx_id",
+            "days",
+            "validator",
+            ((added + taken) * F.col("amounts")).alias("entries"),
+            ((added - taken) * F.col("size")).cast(C.MICRO).alias("staked"),
+        )
     )
 
 
