@@ -19,6 +19,25 @@ GOVERNANCE = {
     "participants_vs_active": governance.participants_vs_active,
 }
 
+# Columns a metric is shown in the order of; the rest have a single row.
+SHOWN_BY = {
+    "voting_power": ["days"],
+    "power_share": ["days", "ranks"],
+    "nakamoto": ["days"],
+    "proposals_weekly": ["weeks"],
+    "voters_by_type": ["date"],
+    "avg_votes_per_voter": ["weeks"],
+    "vote_options": ["proposal_id"],
+    "time_to_governance_daily": ["date"],
+    "participation_by_debut": ["date"],
+    "participants_vs_active": ["date"],
+}
+
+
+def shown(name: str, df: DataFrame) -> DataFrame:
+    """A metric's rows in presentation order. Metrics themselves are not sorted."""
+    return df.orderBy(*SHOWN_BY[name]) if name in SHOWN_BY else df
+
 
 def _write(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").parquet(path)
@@ -26,7 +45,7 @@ def _write(df: DataFrame, path: str) -> str:
 
 
 def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]:
-    """Write each metric to ``<out>/<metric>/<chain>``; returns the paths.
+    """Write each metric, sorted, to ``<out>/<metric>/<chain>``; returns the paths.
 
     The ranked stakes behind the concentration metrics are written first and read
     back, so that the stake flows are worked out once and not per metric. A
@@ -52,5 +71,5 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
     }
     results |= {name: metric(tables, spec) for name, metric in GOVERNANCE.items()}
     for name, df in results.items():
-        paths[name] = _write(df, f"{out}/{name}/{spec.name}")
+        paths[name] = _write(shown(name, df), f"{out}/{name}/{spec.name}")
     return paths

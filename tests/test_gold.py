@@ -43,6 +43,15 @@ def test_gold_tables_hold_the_metrics(spark, tmp_path, spec):
         assert got, name
 
 
+def test_gold_tables_are_sorted(spark, tmp_path):
+    t = stored(spark, tmp_path / "in", OSMOSIS)
+    for name, metric in (("power_share", power.power_share), ("voters_by_type", gold.GOVERNANCE["voters_by_type"])):
+        order = gold.SHOWN_BY[name]
+        shown = [tuple(r) for r in gold.shown(name, metric(t, OSMOSIS)).select(*order).collect()]
+        assert shown == sorted(shown)
+        assert len(shown) > 100
+
+
 def test_gold_tables_are_replaced(spark, tmp_path):
     t = stored(spark, tmp_path / "in", TERRA)
     first = gold.write_gold(t, TERRA, str(tmp_path / "out"))
