@@ -45,7 +45,7 @@ def _write(df: DataFrame, path: str) -> str:
 
 
 def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]:
-    """Write each metric, sorted, to ``<out>/<metric>/<chain>``; returns the paths.
+    """Write each metric, sorted, to ``<out>/<metric>/<label of spec>``; returns the paths.
 
     The ranked stakes behind the concentration metrics are written first and read
     back, so that the stake flows are worked out once and not per metric. A
@@ -56,7 +56,7 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
 
     def levels(metric: str, for_nakamoto: bool) -> DataFrame:
         paths[metric] = _write(
-            power.power_levels(tables, spec, for_nakamoto), f"{out}/{metric}/{spec.name}"
+            power.power_levels(tables, spec, for_nakamoto), f"{out}/{metric}/{spec.label}"
         )
         return session.read.parquet(paths[metric])
 
@@ -71,5 +71,5 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
     }
     results |= {name: metric(tables, spec) for name, metric in GOVERNANCE.items()}
     for name, df in results.items():
-        paths[name] = _write(shown(name, df), f"{out}/{name}/{spec.name}")
+        paths[name] = _write(shown(name, df), f"{out}/{name}/{spec.label}")
     return paths

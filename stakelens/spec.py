@@ -39,6 +39,7 @@ class ChainSpec:
     cumulative stake is not above zero from both ranking and totals.
     ``nakamoto_inbound_denom`` filters only the inbound half of a redelegation,
     and only for the Nakamoto coefficient; ``None`` means the network's own denom.
+    ``variant`` keeps the gold tables of a differing spec of one network apart.
     """
 
     name: str
@@ -55,6 +56,11 @@ class ChainSpec:
     proposals_from: str = "deposits"
     newcomer: str = "delegator"
     wallet_column: str = "tx_from"
+    variant: str = ""
+
+    @property
+    def label(self) -> str:
+        return f"{self.name}_{self.variant}" if self.variant else self.name
 
     @property
     def nakamoto_differs(self) -> bool:
@@ -113,12 +119,6 @@ AXELAR = ChainSpec(
 )
 # Axelar's Nakamoto query was published with another network's denom on the
 # inbound redelegation leg, so that leg matches nothing.
-AXELAR_AS_PUBLISHED = replace(AXELAR, nakamoto_inbound_denom="uosmo")
-
-PRESETS = {
-    "osmosis": OSMOSIS,
-    "cosmos": COSMOS,
-    "terra": TERRA,
-    "axelar": AXELAR,
-    "axelar_as_published": AXELAR_AS_PUBLISHED,
-}
+AXELAR_AS_PUBLISHED = replace(AXELAR, nakamoto_inbound_denom="uosmo", variant="as_published")
+
+PRESETS = {s.label: s for s in (OSMOSIS, COSMOS, TERRA, AXELAR, AXELAR_AS_PUBLISHED)}

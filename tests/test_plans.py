@@ -86,6 +86,45 @@ def test_the_first_aggregation_of_the_legs_uses_the_whole_row(spark):
     assert re.search(r"hashpartitioning\(block_timestamp#\d+, tx_id#\d+, validator#\d+, staked", text)
 
 
+READS = {
+    gov.proposals_weekly: {"proposal_deposits": {"block_timestamp", "proposal_id"}},
+    gov.voters_by_type: {
+        "votes": {"block_timestamp", "voter", "tx_id", "proposal_id"},
+    },
+    gov.avg_votes_per_voter: {"votes": {"block_timestamp", "voter", "tx_id"}},
+    gov.vote_options: {"votes": {"proposal_id", "vote_option", "voter", "tx_id", "vote_weight"}},
+    gov.time_to_governance_avg: {
+        "votes": {"block_timestamp", "voter"},
+        "transactions": {"block_timestamp", "tx_from"},
+    },
+    gov.participation_by_debut: {"votes": {"block_timestamp", "voter", "proposal_id"}},
+    gov.participants_vs_active: {"votes": {"block_timestamp", "voter", "tx_id", "proposal_id"}},
+}
+
+
+@pytest.mark.parametrize("metric", READS, ids=lambda m: m.__name__)
+def test_governance_metrics_read_only_what_they_use(spark, tmp_path, metric):
+    def stored(name, df):
+        df.withColumn("unused", F.lit(1)).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    found = tables(
+        spark,
+        votes=random_votes(1),
+        proposal_deposits=[(v[0], v[3]) for v in random_votes(2)],
+        transactions=[(v[0], v[2]) for v in random_votes(3)],
+    )
+    names = ("votes", "proposal_deposits", "transactions")
+    stored_tables = ChainTables(**{n: stored(n, getattr(found, n)) for n in names})
+    with conf(spark, spark_sql_maxMetadataValueLength="1000"):
+        text = plan(metric(stored_tables, COSMOS))
+    for name, columns in READS[metric].items():
+        scans = [line for line in text.splitlines() if f"/{name}]" in line]
+        assert scans, name
+        read = [set(re.findall(r"(\w+):", s.split("ReadSchema: struct<")[1])) for s in scans]
+        assert set().union(*read) == columns
+
+
 def _hot_attributes(spark):
     """One transaction with as many validators as all others together."""
     n = 20000
