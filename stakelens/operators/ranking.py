@@ -13,11 +13,11 @@ from pyspark.sql import Window as W
 SLICES_PER_DECADE = 10_000
 
 
-def running_total(per_period: DataFrame, period: str, value: str) -> Column:
-    """Running total over all periods. Only for one row per period.
+def running_total(period: str, value: str) -> Column:
+    """Running total over all periods, for a table with one row per period.
 
-    The window has no partitioning and so runs in one task; one row per calendar
-    period bounds it.
+    The window has no partitioning and so runs in one task, on no more rows than
+    there are calendar periods.
     """
     return F.sum(value).over(W.orderBy(period))
 
@@ -79,7 +79,7 @@ def stake_levels(positions: DataFrame) -> DataFrame:
     )
     per_period = slices.groupBy("days").agg(F.sum("flow").alias("flow"))
     totals = per_period.select(
-        "days", running_total(per_period, "days", "flow").alias("total")
+        "days", running_total("days", "flow").alias("total")
     )
     above = W.partitionBy("days").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
     starts = slices.select(

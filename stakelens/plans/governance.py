@@ -25,7 +25,7 @@ def proposals_weekly(tables: ChainTables, spec: ChainSpec) -> DataFrame:
         .groupBy(C.period("debut", "week").alias("weeks"))
         .agg(F.count("proposal_id").alias("new_proposals"))
     )
-    return weekly.withColumn("cum_proposals", rk.running_total(weekly, "weeks", "new_proposals"))
+    return weekly.withColumn("cum_proposals", rk.running_total("weeks", "new_proposals"))
 
 
 def validator_debuts(tables: ChainTables, spec: ChainSpec) -> DataFrame:
@@ -38,7 +38,7 @@ def validator_debuts(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
     accounts = tables.labels.select(
         "address", C.account_address(tables.labels).alias("account")
-    )
+    ).distinct()
     return (
         staked.join(accounts, "address")
         .groupBy(F.col("account").alias("voter"))

@@ -11,7 +11,10 @@ from dataclasses import dataclass, replace
 
 @dataclass(frozen=True)
 class AttributeLeg:
-    """One way a message moves stake: which amounts go to which validator."""
+    """One way a message moves stake: which amounts go to which validator.
+
+    No amount key may also be a validator key.
+    """
 
     msg_type: str
     amount_keys: tuple[str, ...]

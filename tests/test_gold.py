@@ -26,7 +26,9 @@ def stored(spark, root, spec):
     return ChainTables.from_parquet(spark, str(root), spec)
 
 
-@pytest.mark.parametrize("spec", [OSMOSIS, COSMOS, TERRA, AXELAR_AS_PUBLISHED], ids=lambda s: s.name)
+@pytest.mark.parametrize(
+    "spec", [OSMOSIS, COSMOS, TERRA, AXELAR_AS_PUBLISHED], ids=lambda spec: spec.label
+)
 def test_gold_tables_hold_the_metrics(spark, tmp_path, spec):
     t = stored(spark, tmp_path / "in", spec)
     paths = gold.write_gold(t, spec, str(tmp_path / "out"))
@@ -45,7 +47,9 @@ def test_gold_tables_hold_the_metrics(spark, tmp_path, spec):
 
 def test_gold_tables_are_sorted(spark, tmp_path):
     t = stored(spark, tmp_path / "in", OSMOSIS)
-    for name, metric in (("power_share", power.power_share), ("voters_by_type", gold.GOVERNANCE["voters_by_type"])):
+    metrics = {"power_share": power.power_share, **gold.GOVERNANCE}
+    for name in ("power_share", "voters_by_type"):
+        metric = metrics[name]
         order = gold.SHOWN_BY[name]
         shown = [tuple(r) for r in gold.shown(name, metric(t, OSMOSIS)).select(*order).collect()]
         assert shown == sorted(shown)

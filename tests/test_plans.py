@@ -83,7 +83,8 @@ def test_ranking_reads_the_flows_once(spark):
 def test_the_first_aggregation_of_the_legs_uses_the_whole_row(spark):
     t = tables(spark, staking=random_staking(2))
     text = plan(flows.typed_legs(t.staking, "uosmo"))
-    assert re.search(r"hashpartitioning\(block_timestamp#\d+, tx_id#\d+, validator#\d+, staked", text)
+    keys = r"block_timestamp#\d+, tx_id#\d+, validator#\d+, staked"
+    assert re.search(rf"hashpartitioning\({keys}", text)
 
 
 READS = {
@@ -105,8 +106,10 @@ READS = {
 @pytest.mark.parametrize("metric", READS, ids=lambda m: m.__name__)
 def test_governance_metrics_read_only_what_they_use(spark, tmp_path, metric):
     def stored(name, df):
-        df.withColumn("unused", F.lit(1)).write.parquet(str(tmp_path / name))
-        return spark.read.parquet(str(tmp_path / name))
+        # Plans shorten long paths, so the folder is called by the first letter.
+        path = str(tmp_path / name[0])
+        df.withColumn("unused", F.lit(1)).write.parquet(path)
+        return spark.read.parquet(path)
 
     found = tables(
         spark,
@@ -116,11 +119,10 @@ def test_governance_metrics_read_only_what_they_use(spark, tmp_path, metric):
     )
     names = ("votes", "proposal_deposits", "transactions")
     stored_tables = ChainTables(**{n: stored(n, getattr(found, n)) for n in names})
-    with conf(spark, spark_sql_maxMetadataValueLength="1000"):
-        text = plan(metric(stored_tables, COSMOS))
+    text = plan(metric(stored_tables, COSMOS))
     for name, columns in READS[metric].items():
-        scans = [line for line in text.splitlines() if f"/{name}]" in line]
-        assert scans, name
+        scans = [line for line in text.splitlines() if f"/{name[0]}]" in line]
+        assert scans, text
         read = [set(re.findall(r"(\w+):", s.split("ReadSchema: struct<")[1])) for s in scans]
         assert set().union(*read) == columns
 
