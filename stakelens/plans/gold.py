@@ -13,8 +13,6 @@ GOVERNANCE = {
     "voters_by_type": governance.voters_by_type,
     "avg_votes_per_voter": governance.avg_votes_per_voter,
     "vote_options": governance.vote_options,
-    "time_to_governance_avg": governance.time_to_governance_avg,
-    "time_to_governance_daily": governance.time_to_governance_daily,
     "participation_by_debut": governance.participation_by_debut,
     "participants_vs_active": governance.participants_vs_active,
 }
@@ -39,37 +37,37 @@ def shown(name: str, df: DataFrame) -> DataFrame:
     return df.orderBy(*SHOWN_BY[name]) if name in SHOWN_BY else df
 
 
-def _write(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]:
     """Write each metric, sorted, to ``<out>/<metric>/<label of spec>``; returns the paths.
 
-    The ranked stakes behind the concentration metrics are written first and read
-    back, so that the stake flows are worked out once and not per metric. A
-    network whose Nakamoto coefficient counts other flows gets a second such table.
+    Two intermediate tables are written first and read back, so that their inputs are
+    worked through once: the ranked stakes behind the concentration metrics, and the
+    wait of each wallet until its first vote. A network whose Nakamoto coefficient
+    counts other flows gets a second table of ranked stakes.
     """
     session = tables.votes.sparkSession
     paths = {}
 
-    def levels(metric: str, for_nakamoto: bool) -> DataFrame:
-        paths[metric] = _write(
-            power.power_levels(tables, spec, for_nakamoto), f"{out}/{metric}/{spec.label}"
-        )
-        return session.read.parquet(paths[metric])
+    def write(name: str, df: DataFrame) -> DataFrame:
+        paths[name] = f"{out}/{name}/{spec.label}"
+        df.write.mode("overwrite").parquet(paths[name])
+        return session.read.schema(df.schema).parquet(paths[name])
 
-    ranked = levels("stake_levels", for_nakamoto=False)
+    ranked = write("stake_levels", power.power_levels(tables, spec))
     ranked_nakamoto = (
-        levels("stake_levels_nakamoto", for_nakamoto=True) if spec.nakamoto_differs else ranked
+        write("stake_levels_nakamoto", power.power_levels(tables, spec, for_nakamoto=True))
+        if spec.nakamoto_differs
+        else ranked
     )
+    waits = write("time_to_governance", governance.time_to_governance(tables, spec))
     results = {
         "voting_power": power.voting_power(tables, spec, ranked),
         "power_share": power.power_share_normalized(tables, spec, ranked),
         "nakamoto": power.nakamoto(tables, spec, ranked_nakamoto),
+        "time_to_governance_avg": governance.time_to_governance_avg(tables, spec, waits),
+        "time_to_governance_daily": governance.time_to_governance_daily(tables, spec, waits),
     }
     results |= {name: metric(tables, spec) for name, metric in GOVERNANCE.items()}
     for name, df in results.items():
-        paths[name] = _write(shown(name, df), f"{out}/{name}/{spec.label}")
+        write(name, shown(name, df))
     return paths

@@ -123,7 +123,8 @@ def vote_options(tables: ChainTables, spec: ChainSpec) -> DataFrame:
 def time_to_governance(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     """Days from a wallet's first transaction to its first vote; may be negative.
 
-    Both sides are one row per wallet before they meet.
+    Both sides are one row per wallet before they meet. The two metrics below need
+    only this, so ``write_gold`` reads the transactions once for both.
     Output: wallet, governance_debut, days_to_vote.
     """
     wallets = db.first_seen(tables.transactions, spec.wallet_column, "wallet")
@@ -135,26 +136,28 @@ def time_to_governance(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
 
 
-def time_to_governance_avg(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def time_to_governance_avg(
+    tables: ChainTables, spec: ChainSpec, waits: DataFrame | None = None
+) -> DataFrame:
     """One row: avg_time_to_governance_participation."""
-    return time_to_governance(tables, spec).agg(
+    waits = time_to_governance(tables, spec) if waits is None else waits
+    return waits.agg(
         F.round(F.avg("days_to_vote"), 9).alias("avg_time_to_governance_participation")
     )
 
 
-def time_to_governance_daily(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def time_to_governance_daily(
+    tables: ChainTables, spec: ChainSpec, waits: DataFrame | None = None
+) -> DataFrame:
     """By day of the first vote.
 
     Output: date, avg_time_to_governance_participation, participants.
     """
-    return (
-        time_to_governance(tables, spec)
-        .groupBy(F.to_date("governance_debut").alias("date"))
-        .agg(
-            F.round(F.avg("days_to_vote"), 9).alias("avg_time_to_governance_participation"),
-            # Wallets are unique and not NULL after the join.
-            F.count("*").alias("participants"),
-        )
+    waits = time_to_governance(tables, spec) if waits is None else waits
+    return waits.groupBy(F.to_date("governance_debut").alias("date")).agg(
+        F.round(F.avg("days_to_vote"), 9).alias("avg_time_to_governance_participation"),
+        # Wallets are unique and not NULL after the join.
+        F.count("*").alias("participants"),
     )
 
 

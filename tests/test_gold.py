@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stakelens import AXELAR_AS_PUBLISHED, COSMOS, OSMOSIS, TERRA
-from stakelens.plans import gold, power
+from stakelens.plans import gold, governance, power
 from stakelens.sources import fixtures
 from stakelens.sources.tables import TABLE_NAMES, ChainTables, required_tables
 from tests.helpers import rows
@@ -36,8 +36,11 @@ def test_gold_tables_hold_the_metrics(spark, tmp_path, spec):
         "voting_power": power.voting_power,
         "power_share": power.power_share_normalized,
         "nakamoto": power.nakamoto,
+        "time_to_governance_avg": governance.time_to_governance_avg,
+        "time_to_governance_daily": governance.time_to_governance_daily,
         **gold.GOVERNANCE,
     }
+    assert set(want) <= set(paths)
     assert ("stake_levels_nakamoto" in paths) == (spec in (COSMOS, AXELAR_AS_PUBLISHED))
     for name, metric in want.items():
         got = rows(spark.read.parquet(paths[name]))
