@@ -91,6 +91,37 @@ def test_attribute_levels_match_loops(spark, seed, for_nakamoto):
     assert _got_levels(power.power_levels(t, COSMOS, for_nakamoto)) == want
 
 
+def third_to(rows, **hot):
+    """Every third row gets the given values, by position in the row."""
+    at = {int(k[1:]): v for k, v in hot.items()}
+    return [
+        tuple(at.get(j, v) if i % 3 == 0 else v for j, v in enumerate(row))
+        for i, row in enumerate(rows)
+    ]
+
+
+def test_a_third_of_the_actions_in_one_transaction_and_validator(spark):
+    actions = third_to(random_staking(12), _1="hot", _3="v0")
+    legs = [(t, v, s) for t, _, v, s in brute.legs_typed(actions, "uosmo")]
+    want = _levels(brute.power(legs, lambda t: t.date(), False))
+    assert _got_levels(power.power_levels(tables(spark, staking=actions), OSMOSIS)) == want
+
+
+def test_a_third_of_the_messages_in_one_transaction(spark):
+    messages = third_to(random_attributes(13), _1="hot")
+    legs = [(t, v, s) for t, _, v, _, s in brute.legs_attributes(messages, TERRA.power_legs)]
+    want = _levels(brute.power(legs, _month, True))
+    t = tables(spark, msg_attributes=messages)
+    assert _got_levels(power.power_levels(t, TERRA)) == want
+
+
+def test_a_third_of_the_actions_on_one_day(spark):
+    actions = third_to(random_staking(14), _0=START)
+    legs = [(t, v, s) for t, _, v, s in brute.legs_typed(actions, "uosmo")]
+    want = _levels(brute.power(legs, lambda t: t.date(), False))
+    assert _got_levels(power.power_levels(tables(spark, staking=actions), OSMOSIS)) == want
+
+
 def test_redelegations_add_up_to_nothing(spark):
     actions = [(*a[:2], "redelegate", a[3], "src", *a[5:]) for a in random_staking(5)]
     legs = flows.typed_legs(tables(spark, staking=actions).staking, "uosmo")
@@ -159,7 +190,6 @@ def test_appeared_before_equals_the_inequality_join(spark):
 
 
 def test_splitting_hot_voters_changes_nothing(spark):
-    t = tables(spark, votes=random_votes(10))
     hot = [v[:2] + ("whale",) + v[3:] for v in random_votes(11)]
     t = tables(spark, votes=random_votes(10) + hot)
     whole = rows(gov.voters_by_type(t, COSMOS))
