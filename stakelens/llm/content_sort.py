@@ -6,9 +6,9 @@ neighbours are merged by comparing whole texts in a sort-based aggregation. A sa
 id is part of the order: copies of one text that would fill a partition lie in several
 ranges, each leaves one row for a salt, and these few rows are merged at the end.
 
-Defined results: a null text counts as empty. A null id is smaller than any other; if all ids
-of a group are null, `keep_id` is null. If rows with the same id hold the same text, all but
-one of them are dropped. Columns other than id and text are not read.
+Defined results: a null text counts as empty. A null id is kept only if its group has no
+other; `keep_id` is then null. If rows with the same id hold the same text, all but one of
+them are dropped. An empty table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stakelens.llm.scratch import stored
+
 SALTS = 64
 PREFIX = 32
 
@@ -34,7 +36,6 @@ def groups(
     df: DataFrame, largest: bool = True, normalise: Callable[[Column], Column] = _unchanged
 ) -> DataFrame:
     """digest, keep_id and group_size for each distinct text."""
-    pick = F.max if largest else F.min
     text = normalise(F.coalesce(F.col("text"), F.lit("")))
     keyed = df.select(
         F.substring(text, 1, PREFIX).alias("prefix"),
@@ -44,19 +45,21 @@ def groups(
         F.col("doc_id").cast("long").alias("doc_id"),
     )
     order = ["prefix", "digest", "salt"]
-    # The bytes in the buffer make Spark sort the rows and compare neighbours.
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id"))
+    # A struct in the buffer makes Spark sort the rows and compare neighbours.
     same_text = (
         keyed.repartitionByRange(*order)
         .groupBy(*order, "text")
-        .agg(
-            pick("doc_id").alias("keep_id"),
-            F.count(F.lit(1)).alias("size"),
-            F.first("digest").alias("sorted"),
-        )
+        .agg(_pick(named, largest).alias("keep"), F.count(F.lit(1)).alias("size"))
     )
-    return same_text.groupBy("digest").agg(
-        pick("keep_id").alias("keep_id"), F.sum("size").alias("group_size")
+    found = same_text.groupBy("digest").agg(
+        _pick(F.col("keep.doc_id"), largest).alias("keep_id"), F.sum("size").alias("group_size")
     )
+    return stored(found, "groups")  # so that a join on it can split a hot digest
+
+
+def _pick(column: Column, largest: bool) -> Column:
+    return F.max(column) if largest else F.min(column)
 
 
 def decisions(

@@ -15,6 +15,7 @@ from stakelens.llm import (
     packing,
     quality_rules,
     scratch,
+    substring_dedup,
     warc,
 )
 
@@ -32,6 +33,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("too_long_repeat", too_long).drop("longest_repeat")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.summary(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.folder(spark, "archives")
     warc.write(_table(spark, sf_dir, "pages"), path)
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_quality_rules,
+            op2_substring_dedup,
             op3_warc,
             op4_content_sort,
             op6_main_text,
