@@ -12,6 +12,7 @@ from stakelens.llm import (
     content_sort,
     line_dedup,
     main_text,
+    ngram_join,
     packing,
     quality_rules,
     scratch,
@@ -55,6 +56,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(_table(spark, sf_dir, "documents")).drop("td")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     kept = line_dedup.cleaned(line_dedup.build(docs), docs)
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_warc,
             op4_content_sort,
             op6_main_text,
+            op7_ngram_join,
             op8_line_dedup,
             op9_packing,
         )

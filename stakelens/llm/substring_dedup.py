@@ -122,7 +122,24 @@ def _rows(run: _Run, names: pa.Array, name: str, at: np.ndarray, *keys: np.ndarr
 
 
 def _short_windows(run: _Run, rows: pa.RecordBatch) -> pa.RecordBatch:
-    return _rows(run, rows.column("digest"), "digest", run.sampled, run.hash[run.sampled])
+    """A row for each distinct text of the run and each sampled hash in it."""
+    coded = rows.column("digest").dictionary_encode()
+    _, opens, copies = np.unique(np.asarray(coded.indices), return_index=True, return_counts=True)
+    times = np.zeros(len(rows), np.int64)
+    times[opens] = copies
+    owner = T.owners(run.words.first)[run.sampled]
+    at, owner = run.sampled[times[owner] > 0], owner[times[owner] > 0]
+    order = np.lexsort((run.hash[at], owner))
+    at, owner, key = at[order], owner[order], run.hash[at][order]
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+    starts = np.flatnonzero(new)
+    places = pa.array((at - run.words.first[owner]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), places)
+    return pa.RecordBatch.from_pydict(
+        {"digest": rows.column("digest").take(pa.array(owner[starts])), "places": lists,
+         "times": pa.array(times[owner[starts]]), "key0": pa.array(key[starts].view(np.int64))}
+    )
 
 
 def _alive_halves(run: _Run, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -191,10 +208,12 @@ def _single(rows: DataFrame, keys: list[str]) -> DataFrame:
 def cut_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """digest, n_removed and kept (text) for each distinct text that has candidates."""
     texts = _texts(docs).select("digest", "text")
-    schema = "digest binary, place int, key0 long"
+    schema = "digest binary, places array<int>, times long, key0 long"
     first = stored(_mapped(texts, schema, _short_windows, window), "level1")
-    again = first.groupBy("key0").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key0")
-    found = first.join(again, "key0").groupBy("digest").agg(F.collect_set("place").alias("places"))
+    n = F.sum(F.col("times") * F.size("places"))
+    again = first.groupBy("key0").agg(n.alias("n")).filter("n > 1").select("key0")
+    lists = first.join(again, "key0").groupBy("digest").agg(F.collect_set("places").alias("lists"))
+    found = lists.select("digest", F.array_distinct(F.flatten("lists")).alias("places"))
     distinct = texts.groupBy("digest").agg(
         F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")
     )
