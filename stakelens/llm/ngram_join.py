@@ -4,14 +4,16 @@ The n-grams of a document are hashed into groups, and the counts of the groups a
 Two sets with a Jaccard similarity of at least 0.8 differ in at most a ninth of their summed
 sizes, so
 
-- points in the same or neighbouring size classes are dealt into parts, one more than the
-  n-grams in which a pair of the class may differ: similar sets agree in some part wholly.
-  Only documents that meet in a part are compared (parts without n-grams do not count; a
-  document with so many of them that they might be all that agrees, meets there too);
-- the overlap of two sets is at most the sum of the smaller counts of each group. Pairs that
-  meet in a crowd of at most `SMALL` sets are bounded one by one. A larger crowd is linked to
-  its first member, and what these links leave apart is searched with an R-tree over the
-  points: a branch is skipped if the bound by its largest coordinates is too small;
+- points in the same or neighbouring size classes are dealt into parts, some more than the
+  n-grams in which a pair of the class may differ: similar sets agree wholly in at least as
+  many parts as there are more. Parts without n-grams are not sent, so a set's `need` is
+  that number less its empty parts (a set whose parts are mostly empty sends these too);
+- sets that agree in a part meet in a crowd. A pair of a crowd of at most `SMALL` sets is
+  dropped if it cannot meet as often as it needs. In larger crowds only sets stay that are in
+  as many of them as they need; each is linked to its crowd's first, and what these links
+  leave apart is searched with an R-tree over the points;
+- the overlap of two sets is at most the sum of the smaller counts of each group. Pairs are
+  dropped, and branches of the R-tree skipped, if this bound is too small;
 - the pairs that survive are verified on the sets themselves.
 
 Only distinct sets are compared. Documents are linked through components of verified pairs.
@@ -103,18 +105,24 @@ def bounds(most: int) -> np.ndarray:
     return np.array([*out, out[-1] * 5 // 4 + 1])
 
 
-def signatures(sets: _Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) for the parts of the chosen texts, in their class and the next."""
+def signatures(
+    sets: _Sets, chosen: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature) of the parts of the chosen texts, in their class and the next.
+
+    Third, for each text, the least number of them that any similar set shares with it.
+    """
     edges = bounds(int(sets.size.max(initial=1)))
     own = np.searchsorted(edges, sets.size, "right") - 1
     member = chosen[sets.owner]
     owner, hashes = sets.owner[member], sets.hash[member]
-    owners, found = [], []
+    owners, found, need = [], [], np.full(sets.n, 0xFFFF)
     for step in (0, 1):
         level = own + step
         largest = np.append(edges, edges[-1] * 5 // 4 + 1)[level + 1] - 1
         apart = 2 * largest // 9  # n-grams in which a pair may differ
-        parts = np.where(chosen & (sets.size > 0), apart + 3 + apart // 32, 0)
+        more = 4 + apart // 8
+        parts = np.where(chosen & (sets.size > 0), apart + more, 0)
         base = np.concatenate([[0], np.cumsum(parts)])
         part = (T.mix(hashes ^ T.U(0x51ED270B)) >> T.U(8)) % parts[owner].astype(T.U)
         cell = base[owner] + part.astype(np.int64)
@@ -123,12 +131,13 @@ def signatures(sets: _Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         filled = np.bincount(cell, minlength=base[-1]) > 0
         text = np.repeat(np.arange(sets.n), parts)
         empties = parts - np.bincount(text[filled], minlength=sets.n)
-        filled |= (empties >= parts - apart)[text]
+        need = np.minimum(need, np.maximum(1, more - empties))
+        filled |= (empties >= more)[text]
         place = np.arange(base[-1]) - base[text]
         name = (level[text].astype(T.U) << T.U(32)) + place.astype(T.U)
         found.append(T.mix(sums + T.mix(name))[filled])
         owners.append(text[filled])
-    return np.concatenate(owners), np.concatenate(found)
+    return np.concatenate(owners), np.concatenate(found), need
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _dealt(docs: DataFrame, bins: int) -> DataFrame:
-    """For each run of texts and bin: names of sets, and their signatures in the bin."""
+    """For each run of texts and bin: sets (names and needs) and their signatures in the bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,77 +181,91 @@ def _dealt(docs: DataFrame, bins: int) -> DataFrame:
                 names, _ = sets.digests()
                 chosen = np.zeros(sets.n, bool)
                 chosen[np.unique(names, return_index=True)[1]] = True
-                text, found = signatures(sets, chosen & (sets.size > 0))
+                text, found, need = signatures(sets, chosen & (sets.size > 0))
                 bin_ = (found % T.U(bins)).astype(np.int32)
                 order = np.argsort(bin_, kind="stable")
                 text, found, bin_ = text[order], found[order] >> T.U(16), bin_[order]
                 cuts = np.flatnonzero(np.diff(bin_, prepend=-1, append=bins))
-                rows: dict[str, list] = {"bin": [], "sets": [], "member": [], "signs": []}
+                rows: dict[str, list] = {
+                    "bin": [], "sets": [], "needs": [], "member": [], "signs": []
+                }
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     who, member = np.unique(text[a:b], return_inverse=True)
                     rows["bin"].append(int(bin_[a]))
                     rows["sets"].append(names[who].tobytes())
+                    rows["needs"].append(need[who].astype(np.uint16).tobytes())
                     rows["member"].append(member.astype(np.uint16).tobytes())
                     signs = np.ascontiguousarray(found[a:b]).view(np.uint8).reshape(-1, 8)
                     rows["signs"].append(signs[:, :6].tobytes())
-                types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                types = [pa.int32(), *[pa.binary()] * 4]
                 arrays = [pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(rows))
 
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "bin int, sets binary, member binary, signs binary")
+    schema = "bin int, sets binary, needs binary, member binary, signs binary"
+    return texts.mapInArrow(run, schema)
 
 
 def _crowds(dealt: DataFrame, tasks: int) -> DataFrame:
-    """Which sets meet: rows (a, b) of small crowds; (a, b, crowd) of large ones, a their first."""
+    """Which sets meet how many `times`: pairs of small crowds, and members (b) of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sets = [], []
+        keys, names, needs = [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 signs = np.frombuffer(row["signs"], np.uint8).reshape(-1, 6)
                 wide = np.zeros((len(signs), 8), np.uint8)
                 wide[:, :6] = signs
                 keys.append(wide.view(T.U)[:, 0] | (T.U(row["bin"] & 0xFFFF) << T.U(48)))
-                names = np.frombuffer(row["sets"], T.U)
-                sets.append(names[np.frombuffer(row["member"], np.uint16)])
+                member = np.frombuffer(row["member"], np.uint16)
+                names.append(np.frombuffer(row["sets"], T.U)[member])
+                needs.append(np.frombuffer(row["needs"], np.uint16)[member])
         if not keys:
             return
-        key, name = np.concatenate(keys), np.concatenate(sets)
-        del keys, sets
+        key, name, need = map(np.concatenate, (keys, names, needs))
+        del keys, names, needs
         order = np.argsort(key)
-        key, name = key[order], name[order]
+        key, name, need = key[order], name[order], need[order]
         edge = np.flatnonzero(np.diff(key)) + 1
         first, last = np.append(0, edge), np.append(edge, len(key))
-        met = last - first > 1
-        seen, out = set(), []
-        for a, b in zip(first[met], last[met], strict=True):
-            crowd = np.unique(name[a:b])
-            if len(crowd) < 2 or (mark := crowd.tobytes()) in seen:
+        pairs, out = {}, []
+        for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
+            crowd, at = np.unique(name[a:b], return_index=True)
+            if len(crowd) < 2:
                 continue
-            if len(crowd) <= 1024:
-                seen.add(mark)
             if len(crowd) <= SMALL:
-                left, right = np.triu_indices(len(crowd), 1)
-                out.append((crowd[left], crowd[right], np.zeros(len(left), np.int64)))
-            else:
-                one = np.repeat(crowd[:1], len(crowd))
-                out.append((one, crowd, np.full(len(crowd), key[a]).view(np.int64)))
-            if sum(len(x[0]) for x in out[-64:]) > 1 << 16 or len(out) > 4096:
-                yield _pairs(out)
+                mark = crowd.tobytes()
+                times, needed = pairs.get(mark, (0, None))
+                pairs[mark] = (times + 1, need[a:b][at])
+                continue
+            n = len(crowd)
+            columns = [np.zeros(n, T.U), crowd, np.full(n, key[a]), np.ones(n), np.zeros(n)]
+            out.append([*columns, need[a:b][at]])
+            if sum(len(x[0]) for x in out[-16:]) > 1 << 16 or len(out) > 1024:
+                yield _met(out)
+                out = []
+        for mark, (times, needed) in pairs.items():
+            crowd = np.frombuffer(mark, T.U)
+            i, j = np.triu_indices(len(crowd), 1)
+            fixed = [np.zeros(len(i), T.U), np.full(len(i), times)]
+            out.append([crowd[i], crowd[j], *fixed, needed[i], needed[j]])
+            if len(out) > 1024:
+                yield _met(out)
                 out = []
         if out:
-            yield _pairs(out)
+            yield _met(out)
 
     spread = dealt.repartition(tasks, "bin")
-    return spread.mapInArrow(run, "a long, b long, crowd long")
+    return spread.mapInArrow(
+        run, "a long, b long, crowd long, times long, need_a long, need_b long"
+    )
 
 
-def _pairs(out: list[tuple]) -> pa.RecordBatch:
-    a, b, crowd = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_pydict(
-        {"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "crowd": pa.array(crowd)}
-    )
+def _met(out: list[list]) -> pa.RecordBatch:
+    names = ["a", "b", "crowd", "times", "need_a", "need_b"]
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    whole = [c.view(np.int64) if c.dtype == T.U else c.astype(np.int64) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], names=names)
 
 
 # -- bounds and the R-tree ------------------------------------------------------------------
@@ -338,17 +361,59 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(spread.select("a", "b", "text").mapInArrow(run, "a long, b long"), "links")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of set ids, for pairs of names, whose counts allow them to be similar."""
-    left = sets.select(F.col("d1").alias("a"), F.col("id").alias("ia"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    right = sets.select(F.col("d1").alias("b"), F.col("id").alias("ib"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+def _near(pairs: DataFrame) -> DataFrame:
+    """The pairs whose sizes (na, nb) and points (pa, pb) allow their sets to be similar."""
     least = F.aggregate(
         F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x
     )
+    near = pairs.filter(similar(F.least("na", "nb"), F.col("na"), F.col("nb")))
+    return near.filter(similar(least, F.col("na"), F.col("nb")))
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of set ids, for pairs of names, whose counts allow them to be similar."""
+    left, right = (
+        sets.select(
+            F.col("d1").alias(end),
+            F.col("id").alias(f"i{end}"),
+            F.col("n").alias(f"n{end}"),
+            F.col("point").alias(f"p{end}"),
+        )
+        for end in "ab"
+    )
     both = pairs.join(left, "a").join(right, "b").filter("ia != ib")
-    near = both.filter(similar(F.least("na", "nb"), F.col("na"), F.col("nb")))
-    kept = near.filter(similar(least, F.col("na"), F.col("nb")))
-    return kept.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    return _near(both).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+
+
+def _often_enough(pairs: DataFrame, often: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small crowds that may meet as often as they need, large crowds included."""
+    both = pairs.groupBy("a", "b").agg(
+        F.sum("times").alias("times"), F.max(F.greatest("need_a", "need_b")).alias("need")
+    )
+    for end in ("a", "b"):
+        more = often.select(F.col("b").alias(end), F.col("large").alias(f"large_{end}"))
+        both = both.join(more, end, "left")
+    more = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    return both.filter(F.col("times") + more >= F.col("need")).select("a", "b")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of the members of large crowds with the first of them, if they are frequent.
+
+    Which of these pairs are tried first does not change the result: what they leave apart
+    is searched.
+    """
+    first = members.groupBy("crowd").agg(F.min(F.struct("id", "n", "point")).alias("first"))
+    pairs = members.join(first, "crowd").filter("id != first.id")
+    pairs = pairs.groupBy(F.col("first.id").alias("a"), F.col("id").alias("b")).agg(
+        F.count(F.lit(1)).alias("times"),
+        F.min("need").alias("need"),
+        F.first("n").alias("nb"),
+        F.first("first.n").alias("na"),
+        F.first("point").alias("pb"),
+        F.first("first.point").alias("pa"),
+    )
+    return _near(pairs.filter("times > 1 OR need <= 2")).select("a", "b")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -367,12 +432,24 @@ def joined(docs: DataFrame) -> DataFrame:
         .withColumn("id", F.monotonically_increasing_id())
     )
     sets = stored(sets, "sets")
-    met = stored(_crowds(_dealt(docs, 2 * tasks), tasks), "met").filter("a != b")
-    direct = stored(_bounded(met.select("a", "b").distinct(), sets), "direct")
-
-    crowds = met.filter("crowd != 0")
-    names = met.select(F.col("a").alias("d1")).unionByName(met.select(F.col("b").alias("d1")))
-    named = sets.join(names.distinct(), "d1", "left_semi").select("id", "td")
+    met = stored(_crowds(_dealt(docs, 2 * tasks), tasks), "met")
+    large = met.filter("crowd != 0").select("crowd", "b", F.col("need_b").alias("need"))
+    often = large.groupBy("b").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
+    often = stored(often, "often")
+    stay = often.filter("large >= need").select("b")
+    members = large.join(stay, "b").join(
+        sets.select(F.col("d1").alias("b"), "id", "n", "point"), "b"
+    )
+    members = stored(members.select("crowd", "id", "n", "point", "need"), "members")
+    direct = stored(
+        _bounded(_often_enough(met.filter("crowd = 0"), often), sets).unionByName(
+            _stars(members)
+        ),
+        "direct",
+    )
+    ends = [direct.select(F.col(c).alias("id")) for c in ("a", "b")]
+    wanted = ends[0].unionByName(ends[1]).unionByName(members.select("id"))
+    named = sets.join(wanted.distinct(), "id", "left_semi").select("id", "td")
     texts = (
         _texts(docs).groupBy("td").agg(F.first("text").alias("text")).join(named, "td")
     ).select("id", "text")
@@ -380,16 +457,12 @@ def joined(docs: DataFrame) -> DataFrame:
 
     links = _verified(direct, texts)
     labels = components(links)
-    members = crowds.select("crowd", F.col("a").alias("d1")).unionByName(
-        crowds.select("crowd", F.col("b").alias("d1"))
-    )
     members = (
-        members.distinct()
-        .join(sets.select("d1", "id", "n", "point"), "d1")
+        members.drop("need")
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("label", F.coalesce("label", "id"))
     )
-    members = stored(members.select("crowd", "id", "label", "n", "point"), "members")
+    members = stored(members.select("crowd", "id", "label", "n", "point"), "labelled")
     mixed = members.groupBy("crowd").agg(
         F.min("label").alias("low"), F.max("label").alias("high"),
         F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("shares"),
