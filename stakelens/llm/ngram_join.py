@@ -206,7 +206,7 @@ def _dealt(docs: DataFrame, bins: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _crowds(dealt: DataFrame, tasks: int) -> DataFrame:
+def _crowds(dealt: DataFrame, tasks: int, small: int) -> DataFrame:
     """Which sets meet how many `times`: pairs of small crowds, and members (b) of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +233,7 @@ def _crowds(dealt: DataFrame, tasks: int) -> DataFrame:
             crowd, at = np.unique(name[a:b], return_index=True)
             if len(crowd) < 2:
                 continue
-            if len(crowd) <= SMALL:
+            if len(crowd) <= small:
                 mark = crowd.tobytes()
                 times, needed = pairs.get(mark, (0, None))
                 pairs[mark] = (times + 1, need[a:b][at])
@@ -416,7 +416,7 @@ def _stars(members: DataFrame) -> DataFrame:
     return _near(pairs.filter("times > 1 OR need <= 2")).select("a", "b")
 
 
-def joined(docs: DataFrame) -> DataFrame:
+def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, td (MD5 of the text), n_shingles, component_id for each row.
 
     Also stored on the way: the distinct sets and the verified pairs that link them.
@@ -432,7 +432,7 @@ def joined(docs: DataFrame) -> DataFrame:
         .withColumn("id", F.monotonically_increasing_id())
     )
     sets = stored(sets, "sets")
-    met = stored(_crowds(_dealt(docs, 2 * tasks), tasks), "met")
+    met = stored(_crowds(_dealt(docs, 2 * tasks), tasks, small), "met")
     large = met.filter("crowd != 0").select("crowd", "b", F.col("need_b").alias("need"))
     often = large.groupBy("b").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
     often = stored(often, "often")

@@ -15,10 +15,12 @@ than `doc_id` and `text` are not read. Memory is bounded by the longest text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stakelens.llm import textops as T
 
@@ -104,57 +106,73 @@ def _doubled(rank, active, width, ends):
     return _ranked(order, keys, rank.copy(), base)
 
 
-def judged(
-    df: DataFrame,
-    min_words: int = MIN_WORDS,
-    max_repeat_pct: int = MAX_REPEAT_PCT,
-    min_repeat: int = MIN_REPEAT,
-    max_covered_pct: int = MAX_COVERED_PCT,
-    max_longest: int = MAX_LONGEST,
-    extra: tuple[str, ...] = (),
-) -> DataFrame:
-    """One row for each row of `df`, with `SCHEMA` and the columns of `df` named in `extra`."""
-    added = [df.schema[c] for c in extra]
-    schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in added)
+class Rules(NamedTuple):
+    """Limits of the base rule and of repetition."""
+
+    min_words: int = MIN_WORDS
+    max_repeat_pct: int = MAX_REPEAT_PCT
+    min_repeat: int = MIN_REPEAT
+    max_covered_pct: int = MAX_COVERED_PCT
+    max_longest: int = MAX_LONGEST
+
+
+def _verdicts(text: pa.Array, rules: Rules) -> Iterator[list]:
+    """For runs of texts, the columns of `SCHEMA` after the id."""
+    for row, data, offsets in T.runs(text):
+        words = T.words(data, offsets)
+        best = longest_repeats(words)
+        n, at = words.counts, np.arange(len(best))
+        repeated = T.covered(len(best), at[best >= 3], (at + best)[best >= 3])
+        long = best >= rules.min_repeat
+        in_long = T.covered(len(best), at[long], (at + best)[long])
+        n_repeat = T.sums_by_text(repeated, words.first)
+        n_covered = T.sums_by_text(in_long, words.first)
+        longest = np.zeros(len(n), np.int64)
+        np.maximum.at(longest, T.owners(words.first), best)
+        texts = [t or "" for t in text[row : row + len(n)].to_pylist()]
+        failed = (n < rules.min_words) | (100 * n_repeat > rules.max_repeat_pct * n)
+        rejected = (100 * n_covered > rules.max_covered_pct * n) | (longest > rules.max_longest)
+        yield [
+            n,
+            [len(t) - sum(map(t.count, SPACES)) for t in texts],
+            [sum(map(t.count, SYMBOLS)) for t in texts],
+            [_repeated_lines(t) for t in texts],
+            n_repeat,
+            failed,
+            ~failed & ~rejected,
+            n_covered,
+            longest,
+        ]
+
+
+def judged(df: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """One row of `SCHEMA` for each row of `df`."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text")
-            for row, data, offsets in T.runs(text):
-                some = slice(row, row + len(offsets) - 1)
-                words = T.words(data, offsets)
-                best = longest_repeats(words)
-                n, at = words.counts, np.arange(len(best))
-                repeated = T.covered(len(best), at[best >= 3], (at + best)[best >= 3])
-                long = best >= min_repeat
-                in_long = T.covered(len(best), at[long], (at + best)[long])
-                n_repeat = T.sums_by_text(repeated, words.first)
-                n_covered = T.sums_by_text(in_long, words.first)
-                longest = np.zeros(len(n), np.int64)
-                np.maximum.at(longest, T.owners(words.first), best)
-                texts = [t or "" for t in text[some].to_pylist()]
-                failed = (n < min_words) | (100 * n_repeat > max_repeat_pct * n)
-                rejected = (100 * n_covered > max_covered_pct * n) | (longest > max_longest)
-                columns = [
-                    batch.column("doc_id")[some].cast(pa.int64()),
-                    n,
-                    [len(t) - sum(map(t.count, SPACES)) for t in texts],
-                    [sum(map(t.count, SYMBOLS)) for t in texts],
-                    [_repeated_lines(t) for t in texts],
-                    n_repeat,
-                    failed,
-                    ~failed & ~rejected,
-                    n_covered,
-                    longest,
-                ]
-                names = [f.split()[0] for f in SCHEMA.split(", ")]
-                arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
-                arrays += [batch.column(c)[some] for c in extra]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *extra])
-
-    return df.select("doc_id", "text", *[c for c in extra if c not in ("doc_id", "text")]).mapInArrow(
-        judge, schema
-    )
+            at = 0
+            for columns in _verdicts(batch.column("text"), rules):
+                n = len(columns[0])
+                arrays = [batch.column("doc_id")[at : at + n], *map(pa.array, columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                at += n
+
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    return df.select(ids, "text").mapInArrow(judge, SCHEMA)
+
+
+def kept_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """The rows of `df` that the rules keep, with all their columns."""
+    kept_at = SCHEMA.split(", ").index("kept boolean") - 1
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [columns[kept_at] for columns in _verdicts(batch.column("text"), rules)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return df.mapInArrow(keep, df.schema)
 
 
 def _repeated_lines(text: str) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stakelens.llm import (
+    co_training,
     content_sort,
     line_dedup,
     main_text,
@@ -16,6 +17,7 @@ from stakelens.llm import (
     packing,
     quality_rules,
     scratch,
+    soft_mixing,
     substring_dedup,
     warc,
 )
@@ -52,6 +54,10 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.decisions(_table(spark, sf_dir, "documents"))
 
 
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extracted(_table(spark, sf_dir, "pages"))
 
@@ -72,6 +78,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.scored(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -80,9 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_substring_dedup,
             op3_warc,
             op4_content_sort,
+            op5_soft_mixing,
             op6_main_text,
             op7_ngram_join,
             op8_line_dedup,
             op9_packing,
+            op10_co_training,
         )
     }
