@@ -39,12 +39,13 @@ from stakelens.llm.components import components
 from stakelens.llm.scratch import stored
 
 WIDTH = 5
-GROUPS = 32
+GROUPS = 256
+COARSE = 32
 SMALL = 16
 QUERIES_PER_TASK = 8192
 PAIRS_PER_TASK = 4096
 LEAF = 32
-_KEPT = np.uint64((1 << 48) - 1)
+_MOST = (1 << 15) - 1
 
 
 def similar(shared, left, right):
@@ -91,7 +92,9 @@ class _Sets:
     def points(self) -> np.ndarray:
         group = (self.hash >> T.U(40)) % T.U(GROUPS)
         cells = self.owner * GROUPS + group.astype(np.int64)
-        return np.bincount(cells, minlength=self.n * GROUPS).reshape(self.n, GROUPS)
+        counts = np.bincount(cells, minlength=self.n * GROUPS).reshape(self.n, GROUPS)
+        counts[(counts > _MOST).any(1)] = _MOST  # still a bound from above
+        return counts.astype(np.int16)
 
     def of(self, k: int) -> np.ndarray:
         return self.hash[self.first[k] : self.first[k + 1]]
@@ -158,7 +161,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 sets = _Sets(data, offsets)
                 some = batch.slice(row, sets.n)
                 d1, d2 = sets.digests()
-                points = pa.array(sets.points().ravel().astype(np.int32))
+                points = pa.array(sets.points().ravel())
                 starts = pa.array(np.arange(sets.n + 1, dtype=np.int32) * GROUPS)
                 yield pa.RecordBatch.from_arrays(
                     [some.column("doc_id"), some.column("td"), pa.array(sets.size),
@@ -167,7 +170,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "td", "n", "d1", "d2", "point"],
                 )
 
-    schema = "doc_id long, td binary, n long, d1 long, d2 long, point array<int>"
+    schema = "doc_id long, td binary, n long, d1 long, d2 long, point array<short>"
     return _texts(docs).mapInArrow(run, schema)
 
 
@@ -271,10 +274,19 @@ def _met(out: list[list]) -> pa.RecordBatch:
 # -- bounds and the R-tree ------------------------------------------------------------------
 
 
+def folded(points: np.ndarray) -> np.ndarray:
+    """The counts of neighbouring groups, added up."""
+    return points.reshape(len(points), COARSE, -1).sum(2, dtype=np.int32)
+
+
 class RTree:
-    """Points packed into leaves by size and then by their most varied coordinates."""
+    """Points packed into leaves by size and then by their most varied coordinates.
+
+    Branches are bounded on the sums of neighbouring groups, which bound the overlap too.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, fine: np.ndarray, sizes: np.ndarray):
+        points = folded(fine)
         spread = np.argsort(-points.var(0), kind="stable")[:2]
         slab = np.argsort(np.argsort(sizes, kind="stable"), kind="stable") // (LEAF * 64)
         tile = np.lexsort((points[:, spread[0]], slab))
@@ -309,11 +321,13 @@ def _search(key: tuple, table: pa.Table) -> pa.Table:
     ids, labels = (table[c].to_numpy() for c in ("id", "label"))
     sizes = table["n"].to_numpy()
     points = np.asarray(table["point"].combine_chunks().flatten()).reshape(-1, GROUPS)
-    tree = RTree(points, sizes)
+    tree, coarse = RTree(points, sizes), folded(points)
     left, right = [], []
     for k in np.flatnonzero(ids % shares == share):
-        near = tree.near(points[k], sizes[k])
+        near = tree.near(coarse[k], sizes[k])
         near = near[(labels[near] != labels[k]) & (ids[near] > ids[k])]
+        bound = np.minimum(points[near], points[k]).sum(1, dtype=np.int64)
+        near = near[similar(bound, sizes[k], sizes[near])]
         left.append(np.full(len(near), ids[k]))
         right.append(ids[near])
     none = [np.zeros(0, np.int64)]
@@ -364,7 +378,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _near(pairs: DataFrame) -> DataFrame:
     """The pairs whose sizes (na, nb) and points (pa, pb) allow their sets to be similar."""
     least = F.aggregate(
-        F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x
+        F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int")
     )
     near = pairs.filter(similar(F.least("na", "nb"), F.col("na"), F.col("nb")))
     return near.filter(similar(least, F.col("na"), F.col("nb")))
@@ -471,6 +485,7 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     shared = members.join(mixed, "crowd").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     )
+    shared = shared.repartition(tasks, "crowd", "share")
     apart = shared.groupBy("crowd", "share").applyInArrow(_search, "a long, b long")
     links = links.unionByName(_verified(apart, texts))
     labels = stored(components(links), "labels")

@@ -222,11 +222,11 @@ def rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as their rates say, the fraction decided by the id's hash."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    model = fit(docs, labels)
-    table = stored(memberships(docs, model, []), "memberships")
+    # Stored with its rows: else each step of the fold would work out the features again.
+    table = stored(memberships(docs, fit(docs, labels), [row]), "memberships")
     steps = solve(table, **options)
     share = F.pmod(F.xxhash64(F.col("k0.doc_id"), F.lit(5)), F.lit(1 << 20)) / (1 << 20)
     times = F.floor(rate_of(steps, options.get("max_rate", MAX_RATE)) + share).cast("int")
-    chosen = memberships(docs, model, [row]).withColumn("times", times).filter("times > 0")
+    chosen = table.select("k0", times.alias("times")).filter("times > 0")
     repeated = chosen.select("k0", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
     return repeated.select("k0.*")
