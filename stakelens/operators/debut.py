@@ -19,12 +19,12 @@ def appeared_before(df: DataFrame, entity: str) -> DataFrame:
     """For each calendar day, how many entities appeared on an earlier day.
 
     Days before anyone has appeared are absent. A NULL entity makes its later days
-    present but is not counted. Replaces the inequality join of every event with
+    present but is not counted; rows without a timestamp appear on no day. Replaces the inequality join of every event with
     every entity: at most one row per calendar day leaves this function.
 
     Output: date, entities.
     """
-    spans = df.groupBy(entity).agg(
+    spans = df.filter(F.col("block_timestamp").isNotNull()).groupBy(entity).agg(
         F.to_date(F.min("block_timestamp")).alias("debut"),
         F.to_date(F.max("block_timestamp")).alias("last_day"),
     )

@@ -46,6 +46,11 @@ def validator_debuts(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
 
 
+def _dated(votes: DataFrame) -> DataFrame:
+    """Votes of which the voter and the time are known."""
+    return votes.filter(F.col("voter").isNotNull() & F.col("block_timestamp").isNotNull())
+
+
 def voters_by_type(
     tables: ChainTables, spec: ChainSpec, rows_per_task: int = sk.ROWS_PER_TASK
 ) -> DataFrame:
@@ -55,7 +60,7 @@ def voters_by_type(
     from the first staking action on that validator.
     Output: date, type, voters, votes.
     """
-    votes = tables.votes.filter(F.col("voter").isNotNull()).select(
+    votes = _dated(tables.votes).select(
         F.to_date("block_timestamp").alias("date"), "voter", "tx_id", "proposal_id"
     )
     per_voter = votes.groupBy("voter").agg(
@@ -87,7 +92,7 @@ def avg_votes_per_voter(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     Output: weeks, type, avg_votes_per_voter.
     """
     voter_days = (
-        tables.votes.filter(F.col("voter").isNotNull())
+        _dated(tables.votes)
         .groupBy("voter", F.to_date("block_timestamp").alias("date"))
         .agg(F.countDistinct("tx_id").alias("votes"))
     )
@@ -116,7 +121,10 @@ def vote_options(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     return tables.votes.groupBy("proposal_id", C.vote_label("vote_option").alias("vote")).agg(
         F.countDistinct("voter").alias("voters"),
         F.countDistinct("tx_id").alias("votes"),
-        F.round(F.sum(C.zero_if_null("vote_weight")), 6).alias("weight"),
+        # Exact, so that the sum does not depend on the order of the rows.
+        F.round(
+            F.sum(C.zero_if_null("vote_weight").cast("decimal(28,12)")).cast("double"), 6
+        ).alias("weight"),
     )
 
 

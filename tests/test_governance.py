@@ -3,9 +3,11 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from stakelens import COSMOS, OSMOSIS, TERRA
 from stakelens.functions import columns as C
+from stakelens.operators import debut
 from stakelens.plans import governance as gov
 from tests.helpers import rows, tables, ts
 
@@ -128,6 +130,14 @@ def test_active_users_are_those_of_earlier_days(spark):
     ]
 
 
+def test_a_voter_without_a_timestamp_is_active_on_no_day(spark):
+    votes = spark.createDataFrame(
+        [("a", "2023-01-01"), ("b", "2023-01-05"), ("c", None)], "voter string, day string"
+    ).select("voter", F.to_timestamp("day").alias("block_timestamp"))
+    days = {str(r.date): r.entities for r in debut.appeared_before(votes, "voter").collect()}
+    assert days["2023-01-02"] == 1
+
+
 def test_an_early_null_voter_keeps_a_later_proposal(spark):
     t = tables(spark, votes=[vote(None, 0, proposal=1), vote("a", 1, proposal=2)])
     assert rows(gov.participants_vs_active(t, OSMOSIS)) == [
