@@ -196,9 +196,14 @@ def extract(page: str | None, weights: Weights) -> str:
 
 def labelled_pages(pages: DataFrame, limit: int = LABELLED_PAGES) -> list[str]:
     """At most `limit` pages that name their content, by the hash of their ids."""
-    some = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", "html")
-    order = F.xxhash64("page_id"), F.col("page_id"), F.xxhash64("html")
-    return [r["html"] for r in some.orderBy(*order).limit(limit).collect()]
+    some = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select(
+        "page_id", F.xxhash64("html").alias("hash"), "html"
+    )
+    order = F.xxhash64("page_id"), F.col("page_id"), F.col("hash")
+    # Chosen by their ids alone, so that no partition sends its pages to the driver.
+    named = some.select("page_id", "hash").distinct().orderBy(*order).limit(limit)
+    chosen = some.join(named, ["page_id", "hash"]).dropDuplicates(["page_id", "hash"])
+    return [r["html"] for r in chosen.orderBy(*order).collect()]
 
 
 def extracted(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
