@@ -19,5 +19,122 @@ _CONTENT_SORT = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVE
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CAPITALS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _words(text: str) -> str:
+    """A row for each word of each document: doc_id, word, place (from 1)."""
+    return f"""split AS (
+  SELECT doc_id, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM split)"""
+
+
+def _run(length: int) -> str:
+    """The frame of the `length` words from the current one on."""
+    return (
+        f"(PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING)"
+    )
+
+
+def _back(length: int) -> str:
+    return (
+        f"(PARTITION BY doc_id ORDER BY place ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
+    )
+
+
+def _repeats(length: int) -> str:
+    """Words, and whether the window of `length` words that begins there is in its text twice."""
+    return f"""at{length} AS (
+  SELECT doc_id, place, count(*) OVER run = {length} AS whole,
+    md5(string_agg(word, ' ') OVER run) AS seen FROM words WINDOW run AS {_run(length)}),
+again{length} AS (
+  SELECT doc_id, place,
+    whole AND count(*) OVER (PARTITION BY doc_id, whole, seen) > 1 AS again{length} FROM at{length})"""
+
+
+_QUALITY = f"""WITH {_words("coalesce(text, '')")},
+{_repeats(3)},
+{_repeats(20)},
+{_repeats(101)},
+marked AS (
+  SELECT doc_id, word, bool_or(again3) OVER {_back(3)} AS short_repeat,
+    bool_or(again20) OVER {_back(20)} AS long_repeat, again101
+  FROM words JOIN again3 USING (doc_id, place) JOIN again20 USING (doc_id, place)
+    JOIN again101 USING (doc_id, place)),
+counted AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars,
+    count(*) FILTER (short_repeat) AS n_repeat_words,
+    count(*) FILTER (long_repeat) AS n_covered_words, bool_or(again101) AS too_long_repeat
+  FROM marked GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+doubled AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+  WHERE length(trim(line, {_SPACES})) > 0 GROUP BY doc_id),
+base AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words,
+    CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_covered_words, 0) AS n_covered_words,
+    coalesce(too_long_repeat, false) AS too_long_repeat
+  FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN doubled USING (doc_id)),
+failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND NOT too_long_repeat
+  AND 100 * n_covered_words <= 30 * n_words AS kept FROM failed"""
+
+_SUBSTRINGS = f"""WITH {_words("coalesce(text, '')")},
+windows AS (
+  SELECT doc_id, word, place, count(*) OVER run = 35 AS whole,
+    md5(string_agg(word, ' ') OVER run) AS seen FROM words WINDOW run AS {_run(35)}),
+judged AS (
+  SELECT doc_id, word, place,
+    whole AND count(*) OVER (PARTITION BY whole, seen) > 1 AS again FROM windows),
+marked AS (SELECT doc_id, word, place, bool_or(again) OVER {_back(35)} AS gone FROM judged)
+SELECT doc_id, count(place) AS n_words, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN marked USING (doc_id) GROUP BY doc_id"""
+
+_NGRAMS = f"""WITH RECURSIVE {_words(f"translate(coalesce(text, ''), {_CAPITALS})")},
+grams AS (
+  SELECT DISTINCT doc_id, md5(gram) AS gram FROM (
+    SELECT doc_id, place, count(*) OVER run AS n, string_agg(word, ' ') OVER run AS gram
+    FROM words WINDOW run AS {_run(5)})
+  WHERE n = 5 OR place = 1),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM grams a JOIN grams b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a)
+SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(other) AS component_id
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+_LINES = f"""WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (
+  SELECT doc_id, line, place, translate(trim(line, {_SPACES}), {_CAPITALS}) AS key FROM lines),
+owned AS (
+  SELECT doc_id, line, place, length(key) < 10
+    OR doc_id = min(doc_id) OVER (PARTITION BY key) AS stays FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256
+FROM owned GROUP BY doc_id"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_warc": _WARC, "op4_content_sort": _CONTENT_SORT}
+    return {
+        "op1_quality_rules": _QUALITY,
+        "op2_substring_dedup": _SUBSTRINGS,
+        "op3_warc": _WARC,
+        "op4_content_sort": _CONTENT_SORT,
+        "op7_ngram_join": _NGRAMS,
+        "op8_line_dedup": _LINES,
+    }
