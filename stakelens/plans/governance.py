@@ -63,24 +63,28 @@ def voters_by_type(
     votes = _dated(tables.votes).select(
         F.to_date("block_timestamp").alias("date"), "voter", "tx_id", "proposal_id"
     )
+    if spec.newcomer == "validator":
+        # Only the few validator accounts are counted. Spark may broadcast the debuts; if
+        # they are too many for that, a validator has a row per own vote, which adaptive
+        # execution splits.
+        return _by_type(votes.join(validator_debuts(tables, spec), "voter"), spec)
     per_voter = votes.groupBy("voter").agg(
         F.min("date").alias("first_vote"), F.count("*").alias("rows")
     )
-    if spec.newcomer == "validator":
-        debuts = per_voter.drop("first_vote").join(validator_debuts(tables, spec), "voter")
-    else:
-        # The filter holds for every voter. It keeps the date in both uses of this
-        # table, which then share one shuffle.
-        debuts = per_voter.withColumnRenamed("first_vote", "debut").filter(
-            F.col("debut").isNotNull()
-        )
-    return (
-        sk.join_split(votes, debuts, "voter", ["tx_id", "proposal_id"], rows_per_task)
-        .groupBy("date", C.tenure("debut", "date", spec.newcomer).alias("type"))
-        .agg(
-            F.countDistinct("voter").alias("voters"),
-            F.countDistinct("tx_id").alias("votes"),
-        )
+    # The filter holds for every voter. It keeps the date in both uses of this table,
+    # which then share one shuffle.
+    debuts = per_voter.withColumnRenamed("first_vote", "debut").filter(
+        F.col("debut").isNotNull()
+    )
+    return _by_type(
+        sk.join_split(votes, debuts, "voter", ["tx_id", "proposal_id"], rows_per_task), spec
+    )
+
+
+def _by_type(votes: DataFrame, spec: ChainSpec) -> DataFrame:
+    return votes.groupBy("date", C.tenure("debut", "date", spec.newcomer).alias("type")).agg(
+        F.countDistinct("voter").alias("voters"),
+        F.countDistinct("tx_id").alias("votes"),
     )
 
 

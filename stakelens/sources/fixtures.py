@@ -85,31 +85,28 @@ def msg_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     msg_type = F.col("msg_type")
 
-    def attribute(key, value, only=None):
-        rows = lines if only is None else lines.filter(msg_type == only)
-        return rows.select(
-            "block_timestamp",
-            "tx_id",
-            "msg_type",
-            key.alias("attribute_key"),
-            value.alias("attribute_value"),
-        )
+    def attribute(key, value):
+        return F.struct(key.alias("attribute_key"), value.alias("attribute_value"))
 
     validator_key = F.when(msg_type == "redelegate", "destination_validator").otherwise(
         "validator"
     )
-    return (
-        attribute(F.lit("amount"), F.concat("micro", "denom"))
-        .unionByName(
-            attribute(
-                F.lit("new_shares"),
-                F.concat("micro", F.lit(".000000000000000000"), "denom"),
-                only="delegate",
-            )
+    shares = F.concat("micro", F.lit(".000000000000000000"), "denom")
+    both = [
+        attribute(F.lit("amount"), F.concat("micro", "denom")),
+        attribute(validator_key, F.col("validator")),
+    ]
+    attributes = (
+        F.when(msg_type == "delegate", F.array(*both, attribute(F.lit("new_shares"), shares)))
+        .when(
+            msg_type == "redelegate",
+            F.array(*both, attribute(F.lit("source_validator"), F.col("source"))),
         )
-        .unionByName(attribute(validator_key, F.col("validator")))
-        .unionByName(attribute(F.lit("source_validator"), F.col("source"), only="redelegate"))
+        .otherwise(F.array(*both))
     )
+    return lines.select(
+        "block_timestamp", "tx_id", "msg_type", F.explode(attributes).alias("attribute")
+    ).select("block_timestamp", "tx_id", "msg_type", "attribute.*")
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import TimestampType
 
 from stakelens.sources import schemas
 from stakelens.spec import ChainSpec
@@ -19,6 +20,8 @@ TABLE_NAMES = {
     "labels": "dim_labels",
 }
 
+UTC_NAMES = ("UTC", "Etc/UTC", "Z", "GMT", "Etc/GMT", "+00:00", "Etc/UCT", "UCT", "Zulu")
+
 
 def required_tables(spec: ChainSpec) -> list[str]:
     """Inputs the metrics of one network read; the rest need not exist."""
@@ -31,6 +34,17 @@ def required_tables(spec: ChainSpec) -> list[str]:
     return needed
 
 
+def _check_zone(table: DataFrame, name: str) -> None:
+    """Days are those of the session's zone, unless timestamps have no zone of their own."""
+    zone = table.sparkSession.conf.get("spark.sql.session.timeZone")
+    zoned = any(isinstance(f.dataType, TimestampType) for f in table.schema.fields)
+    if zoned and zone not in UTC_NAMES:
+        raise ValueError(
+            f"{name} has timestamps, and days would be those of {zone}: set "
+            "spark.sql.session.timeZone to UTC"
+        )
+
+
 @dataclass(frozen=True)
 class ChainTables:
     """One DataFrame per input table; an input a network does not use is ``None``."""
@@ -42,6 +56,12 @@ class ChainTables:
     transactions: DataFrame | None = None
     labels: DataFrame | None = None
 
+    def __post_init__(self):
+        for name in TABLE_NAMES:
+            table = getattr(self, name)
+            if table is not None:
+                _check_zone(table, name)
+
     @classmethod
     def from_catalog(cls, spark: SparkSession, spec: ChainSpec) -> ChainTables:
         """Tables named ``<chain>.core.<table>``."""

@@ -70,11 +70,27 @@ def test_gold_tables_are_replaced(spark, tmp_path):
     assert got.filter("proposal_id <= 100").isEmpty() and not got.isEmpty()
 
 
+@pytest.mark.parametrize("kind, fails", [("timestamp", True), ("timestamp_ntz", False)])
+def test_days_of_another_zone_are_refused(spark, kind, fails):
+    votes = spark.sql(f"SELECT CAST('2023-01-01' AS {kind}) AS block_timestamp")
+    assert ChainTables(votes=votes).votes is votes
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        if fails:
+            with pytest.raises(ValueError, match="Asia/Tokyo"):
+                ChainTables(votes=votes)
+        else:
+            ChainTables(votes=votes)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_tables_from_the_catalog(spark, monkeypatch):
     asked = []
-    monkeypatch.setattr(type(spark), "table", lambda self, name: asked.append(name) or name)
+    table = spark.createDataFrame([(1,)], "x int")
+    monkeypatch.setattr(type(spark), "table", lambda self, name: asked.append(name) or table)
     t = ChainTables.from_catalog(spark, TERRA)
-    assert t.votes == "terra.core.fact_governance_votes"
+    assert t.votes is table
     assert t.staking is None
     assert sorted(asked) == [
         "terra.core.fact_governance_votes",
