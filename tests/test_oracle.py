@@ -1,4 +1,4 @@
-"""Every registered query against DuckDB over the same parquet files."""
+"""Every metric query against DuckDB over the same parquet files."""
 
 import os
 
@@ -9,8 +9,8 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = entry.metric_queries()
+SQL = entry.duckdb_oracle.sql()
 
 
 @pytest.fixture(scope="module")

@@ -38,9 +38,9 @@ def conf(spark, **settings):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.metric_queries()))
 def test_no_cross_join_and_no_python(spark, name):
-    text = plan(entry.queries()[name](spark, SF_DIR))
+    text = plan(entry.metric_queries()[name](spark, SF_DIR))
     for banned in ("BroadcastNestedLoopJoin", "CartesianProduct", "Python", "ArrowEval"):
         assert banned not in text
 
