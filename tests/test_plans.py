@@ -2,6 +2,7 @@
 
 import re
 from contextlib import contextmanager
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from stakelens import COSMOS, OSMOSIS
 from stakelens.operators import flows
 from stakelens.plans import governance as gov
 from stakelens.plans import power
+from stakelens.sources import fixtures
 from stakelens.sources.tables import ChainTables
 from tests.helpers import tables
 from tests.test_properties import random_attributes, random_staking, random_votes
@@ -201,3 +203,11 @@ def test_hot_voters_are_split_by_transaction(spark):
     t = tables(spark, votes=random_votes(1))
     text = plan(gov.voters_by_type(t, COSMOS))
     assert "xxhash64(tx_id" in text
+
+
+def test_the_votes_are_read_once_for_validators(spark, tmp_path):
+    t = fixtures.chain_tables(spark, SF_DIR, OSMOSIS)
+    path = str(tmp_path / "v")
+    t.votes.write.parquet(path)
+    text = plan(gov.voters_by_type(replace(t, votes=spark.read.parquet(path)), OSMOSIS))
+    assert text.count("/v]") == 1
