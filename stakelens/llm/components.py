@@ -13,31 +13,37 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and self-loops are left out; repeated edges do not matter. Each round stores
     the edges, so that its lineage stays short; the rounds grow with the logarithm of the
-    size of the largest component.
+    size of the largest component. They end when only stars are left, which a further round
+    would not change.
     """
     ordered = edges.filter("a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
     now = stored(ordered.distinct(), "edges")
-    before = None
-    while before != (mark := _mark(now)):
-        before = mark
+    while not _only_stars(now):
         now = stored(_small_star(_large_star(now)), "edges")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return tuple(row)
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller end, which is the larger end of no edge."""
+    larger = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    smaller = edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = larger.unionByName(smaller).groupBy("node")
+    ends = nodes.agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 OR (up = 1 AND down = 1)").count() == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Links the larger neighbours of each node to the least node around it."""
+    """Links the larger neighbours of each node to the least node around it.
+
+    As many rows as there are edges; the small star takes repeated ones out.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     linked = both.filter("v > u").join(least, "u")
-    return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    return linked.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
