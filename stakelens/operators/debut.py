@@ -19,14 +19,24 @@ def appeared_before(df: DataFrame, entity: str) -> DataFrame:
     """For each calendar day, how many entities appeared on an earlier day.
 
     Days before anyone has appeared are absent. A NULL entity makes its later days
-    present but is not counted; rows without a timestamp appear on no day. Replaces the inequality join of every event with
-    every entity: at most one row per calendar day leaves this function.
+    present but is not counted; rows without a timestamp appear on no day.
+    Replaces the inequality join of every event with every entity: at most one row
+    per calendar day leaves this function.
 
     Output: date, entities.
     """
-    spans = df.filter(F.col("block_timestamp").isNotNull()).groupBy(entity).agg(
-        F.to_date(F.min("block_timestamp")).alias("debut"),
-        F.to_date(F.max("block_timestamp")).alias("last_day"),
+    return spans_before(
+        df.groupBy(entity).agg(
+            F.min("block_timestamp").alias("debut"), F.max("block_timestamp").alias("last_seen")
+        ),
+        entity,
+    )
+
+
+def spans_before(seen: DataFrame, entity: str) -> DataFrame:
+    """The same from the first and last time, ``debut`` and ``last_seen``, of each entity."""
+    spans = seen.filter(F.col("debut").isNotNull()).select(
+        entity, F.to_date("debut").alias("debut"), F.to_date("last_seen").alias("last_day")
     )
     debuts = spans.groupBy("debut").agg(
         F.count(entity).alias("appeared"), F.max("last_day").alias("last_day")

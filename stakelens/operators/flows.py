@@ -19,48 +19,53 @@ from stakelens.spec import AttributeLeg
 MICRO_BOUND = 10**15
 
 
-def typed_legs(staking: DataFrame, denom: str, inbound_denom: str | None = None) -> DataFrame:
-    """Legs of typed staking actions, identical legs of one transaction merged.
-
-    A redelegation gives a negative leg for its source and a positive one for its
-    target; any other action one leg, negative for ``undelegate``. Both legs come
-    from a single scan. With ``inbound_denom`` the positive redelegation leg is
-    taken from rows of that currency instead.
+def _marked_legs(staking: DataFrame, denom: str, inbound: tuple[str, ...]) -> DataFrame:
+    """Legs of typed staking actions, and the readings each belongs to as a bit set.
 
-    Output: block_timestamp, tx_id, validator, staked.
+    Readings differ in the denomination of the positive leg of a redelegation, ``inbound``.
     """
     source = F.col("redelegate_source_validator_address")
     target = F.col("validator_address")
     amount = F.col("amount").cast(C.MICRO)
 
-    def leg(validator: Column, staked: Column) -> Column:
-        return F.struct(validator.alias("validator"), staked.alias("staked"))
+    def leg(validator: Column, staked: Column, readings: Column) -> Column:
+        return F.struct(
+            validator.alias("validator"), staked.alias("staked"), readings.alias("readings")
+        )
 
     own = F.col("currency") == denom
-    single = leg(target, F.when(F.col("action") == "undelegate", -amount).otherwise(amount))
-    if inbound_denom in (None, denom):
-        read = own
-        legs = F.when(source.isNull(), F.array(single)).otherwise(
-            F.array(leg(source, -amount), leg(target, amount))
-        )
-    else:
-        inbound = source.isNotNull() & (F.col("currency") == inbound_denom)
-        read = own | inbound
-        legs = (
-            F.when(source.isNull(), F.array(single))
-            .when(inbound, F.array(leg(target, amount)))
-            .otherwise(F.array(leg(source, -amount)))
-        )
+    every = F.when(own, F.lit((1 << len(inbound)) - 1)).otherwise(0)
+    positive = _bits({i: F.col("currency") == name for i, name in enumerate(inbound)})
+    single = leg(target, F.when(F.col("action") == "undelegate", -amount).otherwise(amount), every)
+    legs = F.when(source.isNull(), F.array(single)).otherwise(
+        F.array(leg(source, -amount, every), leg(target, amount, positive))
+    )
+    others = [name for name in inbound if name != denom]
+    read = own | (source.isNotNull() & F.col("currency").isin(others)) if others else own
     return (
         staking.filter(read & F.col("amount").isNotNull())
         .select("block_timestamp", "tx_id", F.explode(legs).alias("leg"))
-        .select("block_timestamp", "tx_id", "leg.validator", "leg.staked")
-        # Grouped on the whole row, so no transaction or validator, however
-        # frequent, ends up in one task.
-        .distinct()
+        .select("block_timestamp", "tx_id", "leg.*")
+        .filter("readings != 0")
     )
 
 
+def typed_legs(staking: DataFrame, denom: str, inbound_denom: str | None = None) -> DataFrame:
+    """Legs of typed staking actions, identical legs of one transaction merged.
+
+    A redelegation gives a negative leg for its source and a positive one for its
+    target; any other action one leg, negative for ``undelegate``. Both legs come
+    from a single scan. With ``inbound_denom`` the positive redelegation leg is
+    taken from rows of that currency instead.
+
+    Output: block_timestamp, tx_id, validator, staked.
+    """
+    legs = _marked_legs(staking, denom, (inbound_denom or denom,))
+    # Grouped on the whole row, so no transaction or validator, however
+    # frequent, ends up in one task.
+    return legs.select("block_timestamp", "tx_id", "validator", "staked").distinct()
+
+
 def typed_flows(
     staking: DataFrame, grain: str, denom: str, inbound_denom: str | None = None
 ) -> DataFrame:
@@ -72,13 +77,30 @@ def typed_flows(
     )
 
 
+def typed_flows_both(
+    staking: DataFrame, grain: str, denom: str, inbound_denom: str
+) -> DataFrame:
+    """The flows without and with another inbound denomination, from one scan.
+
+    Output: days, validator, flow, flow_nakamoto (NULL where there is none).
+    """
+    legs = _marked_legs(staking, denom, (denom, inbound_denom))
+    merged = legs.groupBy("block_timestamp", "tx_id", "validator", "staked").agg(
+        F.bit_or("readings").alias("readings")
+    )
+    staked = [F.when(_overlap(F.col("readings"), F.lit(1 << i)), F.col("staked")) for i in (0, 1)]
+    return merged.groupBy(C.period("block_timestamp", grain).alias("days"), "validator").agg(
+        F.sum(staked[0]).alias("flow"), F.sum(staked[1]).alias("flow_nakamoto")
+    )
+
+
 def _is(msg_type: str, keys: tuple[str, ...]) -> Column:
     return (F.col("msg_type") == msg_type) & F.col("attribute_key").isin(*keys)
 
 
-def _legs_set(matches: dict[int, Column]) -> Column:
-    """Bit set of the legs whose condition holds."""
-    bits = [F.when(match, F.lit(1 << leg)).otherwise(F.lit(0)) for leg, match in matches.items()]
+def _bits(matches: dict[int, Column]) -> Column:
+    """Bit set of the numbers whose condition holds."""
+    bits = [F.when(match, F.lit(1 << i)).otherwise(F.lit(0)) for i, match in matches.items()]
     return reduce(lambda left, right: left.bitwiseOR(right), bits, F.lit(0))
 
 
@@ -99,8 +121,8 @@ def attribute_entries(attributes: DataFrame, legs: tuple[AttributeLeg, ...]) ->
     n = len(legs)
     paid = [_is(leg.msg_type, leg.amount_keys) for leg in legs]
     named = [_is(leg.msg_type, (leg.validator_key,)) for leg in legs]
-    outbound = _legs_set({i: paid[i] for i, leg in enumerate(legs) if leg.sign < 0})
-    inbound = _legs_set({i: paid[i] for i, leg in enumerate(legs) if leg.sign > 0})
+    outbound = _bits({i: paid[i] for i, leg in enumerate(legs) if leg.sign < 0})
+    inbound = _bits({i: paid[i] for i, leg in enumerate(legs) if leg.sign > 0})
     micro = F.col("micro")
     is_amount, is_validator = reduce(or_, paid), reduce(or_, named)
     return (
@@ -115,7 +137,7 @@ def attribute_entries(attributes: DataFrame, legs: tuple[AttributeLeg, ...]) ->
             # An amount below zero turns its legs round. One that does not parse or is
             # out of bounds has no legs: it drops out after the aggregation, as a
             # filter here would be pushed below the parsing and parse twice.
-            F.when(is_validator, F.shiftleft(_legs_set(dict(enumerate(named))), 2 * n))
+            F.when(is_validator, F.shiftleft(_bits(dict(enumerate(named))), 2 * n))
             .when(micro >= MICRO_BOUND, 0)
             .when(micro > 0, inbound.bitwiseOR(F.shiftleft(outbound, n)))
             .when(micro < 0, outbound.bitwiseOR(F.shiftleft(inbound, n)))
@@ -128,10 +150,10 @@ def attribute_entries(attributes: DataFrame, legs: tuple[AttributeLeg, ...]) ->
     )
 
 
-def attribute_legs(
-    attributes: DataFrame, legs: tuple[AttributeLeg, ...], grain: str
+def _applied_legs(
+    attributes: DataFrame, readings: tuple[tuple[AttributeLeg, ...], ...], grain: str
 ) -> DataFrame:
-    """Stake each transaction moves per validator it names.
+    """Stake each transaction moves per validator it names, in each reading of the legs.
 
     Within a transaction every amount of a leg applies to every validator of that
     leg. Joining amounts to validators would emit all those pairs only to add them
@@ -140,8 +162,10 @@ def attribute_legs(
     transaction is hot, its validators are, on one side of the join: adaptive
     execution splits that partition.
 
-    Output: tx_id, days, validator, entries, staked; one row per combination of legs.
+    Output: tx_id, days, validator, and for reading i entries_i and staked_i, which
+    are NULL where no leg of the reading applies; one row per combination of legs.
     """
+    legs = tuple(leg for reading in readings for leg in reading)
     n = len(legs)
     every = (1 << n) - 1
     # Both halves select on the aggregated bit sets, which cannot be pushed below the
@@ -158,18 +182,36 @@ def attribute_legs(
     validators = entries.filter(named != 0).select(
         "tx_id", F.col("name").alias("validator"), named.alias("named")
     )
-    added = _overlap(F.col("plus"), F.col("named")).cast("int")
-    taken = _overlap(F.col("minus"), F.col("named")).cast("int")
+    first, any_applies, results = 0, F.lit(False), []
+    for i, reading in enumerate(readings):
+        own = F.lit(((1 << len(reading)) - 1) << first)
+        first += len(reading)
+        mine = F.col("named").bitwiseAND(own)
+        added = _overlap(F.col("plus"), mine).cast("int")
+        taken = _overlap(F.col("minus"), mine).cast("int")
+        applies = added + taken > 0
+        any_applies = any_applies | applies
+        moved_here = ((added - taken) * F.col("size")).cast(C.MICRO)
+        results.append(
+            F.when(applies, (added + taken) * F.col("amounts")).alias(f"entries_{i}")
+        )
+        results.append(F.when(applies, moved_here).alias(f"staked_{i}"))
     return (
         validators.join(amounts, "tx_id")
-        .filter(added + taken > 0)
-        .select(
-            "tx_id",
-            "days",
-            "validator",
-            ((added + taken) * F.col("amounts")).alias("entries"),
-            ((added - taken) * F.col("size")).cast(C.MICRO).alias("staked"),
-        )
+        .filter(any_applies)
+        .select("tx_id", "days", "validator", *results)
+    )
+
+
+def attribute_legs(
+    attributes: DataFrame, legs: tuple[AttributeLeg, ...], grain: str
+) -> DataFrame:
+    """Stake each transaction moves per validator it names.
+
+    Output: tx_id, days, validator, entries, staked; one row per combination of legs.
+    """
+    return _applied_legs(attributes, (legs,), grain).withColumnsRenamed(
+        {"entries_0": "entries", "staked_0": "staked"}
     )
 
 
@@ -182,3 +224,20 @@ def attribute_flows(
         .groupBy("days", "validator")
         .agg(F.sum("staked").alias("flow"))
     )
+
+
+def attribute_flows_both(
+    attributes: DataFrame,
+    legs: tuple[AttributeLeg, ...],
+    nakamoto_legs: tuple[AttributeLeg, ...],
+    grain: str,
+) -> DataFrame:
+    """The flows of two readings of the legs, from one read of the log.
+
+    Output: days, validator, flow, flow_nakamoto (NULL where there is none).
+    """
+    return (
+        _applied_legs(attributes, (legs, nakamoto_legs), grain)
+        .groupBy("days", "validator")
+        .agg(F.sum("staked_0").alias("flow"), F.sum("staked_1").alias("flow_nakamoto"))
+    )

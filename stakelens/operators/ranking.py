@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 # Slices per factor of ten; one slice holds values within about 0.02 % of each other.
 SLICES_PER_DECADE = 10_000
 
+# What is added up downwards through the stakes of a period.
+SUMMED = ("validators", "stake", "flow")
+
 
 def running_total(period: str, value: str) -> Column:
     """Running total over all periods, for a table with one row per period.
@@ -54,7 +57,9 @@ def stake_levels(positions: DataFrame) -> DataFrame:
     A window over a period would sort all its validators in one task. Instead
     equal stakes become one row, rows are cut into slices by magnitude, and each
     slice starts from the count and sum of the slices above it. The number of slices
-    in a period depends on the range of its stakes, not on how many there are.
+    in a period is bounded by the range of its stakes. The sums of a slice are those of
+    its lowest stake, and the sum of a period that of its lowest slice, so that neither
+    needs a shuffle of its own.
 
     Output: days, cum, validators, rank, run, total.
     """
@@ -63,38 +68,54 @@ def stake_levels(positions: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("validators"), F.sum("flow").alias("flow"))
         .withColumn("slice", _slice("cum"))
         .withColumn("stake", F.col("cum") * F.col("validators"))
-        # The joins below would drop NULL keys anyway, and the sums are never NULL.
-        # Saying so here gives both readers of the levels the same columns and
-        # filters, so that Spark shuffles them once and reuses the exchange.
-        .filter(_all_set("days", "slice", "flow"))
+        # This filter and the next two hold for every row. Saying so gives the readers of
+        # a table the same columns and filters, so that Spark shuffles it once for them.
+        .filter(_all_set("days", "slice"))
     )
+    falling = W.partitionBy("days", "slice").orderBy(F.desc("cum"))
+    inside = levels.select(
+        "days",
+        "slice",
+        "cum",
+        "validators",
+        *[
+            F.sum(name).over(falling.rowsBetween(W.unboundedPreceding, 0)).alias(f"{name}_inside")
+            for name in SUMMED
+        ],
+        F.lead("cum").over(falling).isNull().alias("lowest"),
+    ).filter(_all_set(*[f"{name}_inside" for name in SUMMED]))
+    # The lowest stake of a slice has the sums of the whole slice.
+    downwards = W.partitionBy("days").orderBy(F.desc("slice"))
     slices = (
-        levels.groupBy("days", "slice")
-        .agg(
-            F.sum("validators").alias("validators"),
-            F.sum("stake").alias("stake"),
-            F.sum("flow").alias("flow"),
+        inside.filter("lowest")
+        .select(
+            "days",
+            "slice",
+            *[F.col(f"{name}_inside").alias(name) for name in SUMMED],
         )
-        .filter(_all_set("validators", "stake", "flow"))
-    )
-    per_period = slices.groupBy("days").agg(F.sum("flow").alias("flow"))
-    totals = per_period.select(
-        "days", running_total("days", "flow").alias("total")
+        .select(
+            "*",
+            *[
+                F.sum(name).over(downwards.rowsBetween(W.unboundedPreceding, 0)).alias(f"{name}_to")
+                for name in SUMMED
+            ],
+            F.lead("slice").over(downwards).isNull().alias("lowest"),
+        )
+        .filter(_all_set(*SUMMED, *[f"{name}_to" for name in SUMMED]))
     )
-    above = W.partitionBy("days").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    totals = slices.filter("lowest").select("days", running_total("days", "flow_to").alias("total"))
     starts = slices.select(
         "days",
         "slice",
-        F.coalesce(F.sum("validators").over(above), F.lit(0)).alias("validators_above"),
-        F.coalesce(F.sum("stake").over(above), F.lit(0)).alias("stake_above"),
+        (F.col("validators_to") - F.col("validators")).alias("validators_above"),
+        (F.col("stake_to") - F.col("stake")).alias("stake_above"),
     ).join(totals, "days")
-    inside = W.partitionBy("days", "slice").orderBy(F.desc("cum"))
-    return levels.join(starts, ["days", "slice"]).select(
+    return inside.join(starts, ["days", "slice"]).select(
         "days",
         "cum",
         "validators",
-        (F.col("validators_above") + F.sum("validators").over(inside)).alias("rank"),
-        (F.col("stake_above") + F.sum("stake").over(inside)).alias("run"),
+        (F.col("validators_above") + F.col("validators_inside")).alias("rank"),
+        (F.col("stake_above") + F.col("stake_inside")).alias("run"),
         "total",
     )
 

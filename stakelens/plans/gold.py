@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timezone
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stakelens.plans import governance, power
 from stakelens.sources.tables import ChainTables
@@ -32,34 +36,59 @@ SHOWN_BY = {
 }
 
 
+FINISHED = "run string, tables array<string>"
+
+
 def shown(name: str, df: DataFrame) -> DataFrame:
     """A metric's rows in presentation order. Metrics themselves are not sorted."""
     return df.orderBy(*SHOWN_BY[name]) if name in SHOWN_BY else df
 
 
 def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]:
-    """Write each metric, sorted, to ``<out>/<metric>/<label of spec>``; returns the paths.
+    """Write each metric, sorted, to ``<out>/<label of spec>/<run>/<metric>``; returns the paths.
+
+    ``out`` must be storage that the driver and all executors share. Each call is a run
+    with a folder of its own, noted as finished when all its tables are there: readers of
+    ``current`` see the tables of one run, and a run that fails changes nothing for them.
+    Older runs stay until their folders are removed.
 
-    Two intermediate tables are written first and read back, so that their inputs are
-    worked through once: the ranked stakes behind the concentration metrics, and the
-    wait of each wallet until its first vote. A network whose Nakamoto coefficient
-    counts other flows gets a second table of ranked stakes.
+    What several metrics need is written first and read back, so that its inputs are
+    worked through once: the ranked stakes behind the concentration metrics (with the flows
+    of both, if the Nakamoto coefficient counts other ones), each voter, each proposal, the
+    debuts of validators, and the wait of each wallet until its first vote.
     """
     session = tables.votes.sparkSession
+    run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid4().hex[:8]}"
     paths = {}
 
     def write(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = f"{out}/{name}/{spec.label}"
-        df.write.mode("overwrite").parquet(paths[name])
+        paths[name] = f"{out}/{spec.label}/{run}/{name}"
+        df.write.parquet(paths[name])
         return session.read.schema(df.schema).parquet(paths[name])
 
-    ranked = write("stake_levels", power.power_levels(tables, spec))
-    ranked_nakamoto = (
-        write("stake_levels_nakamoto", power.power_levels(tables, spec, for_nakamoto=True))
-        if spec.nakamoto_differs
-        else ranked
+    if spec.nakamoto_differs:
+        moved = write("stake_flows", power.stake_flows_both(tables, spec))
+        flows, flows_nakamoto = (
+            moved.filter(F.col(name).isNotNull()).select(
+                "days", "validator", F.col(name).alias("flow")
+            )
+            for name in ("flow", "flow_nakamoto")
+        )
+        ranked = write("stake_levels", power.power_levels(tables, spec, flows=flows))
+        ranked_nakamoto = write(
+            "stake_levels_nakamoto", power.power_levels(tables, spec, flows=flows_nakamoto)
+        )
+    else:
+        ranked = ranked_nakamoto = write("stake_levels", power.power_levels(tables, spec))
+    newcomers_stake = spec.newcomer == "validator"
+    shared = governance.Shared(
+        voters=write("voters", governance.voters(tables)),
+        proposals=write("proposals", governance.proposals(tables)),
+        debuts=write("validator_debuts", governance.validator_debuts(tables, spec))
+        if newcomers_stake
+        else None,
     )
-    waits = write("time_to_governance", governance.time_to_governance(tables, spec))
+    waits = write("time_to_governance", governance.time_to_governance(tables, spec, shared))
     results = {
         "voting_power": power.voting_power(tables, spec, ranked),
         "power_share": power.power_share_normalized(tables, spec, ranked),
@@ -67,7 +96,20 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
         "time_to_governance_avg": governance.time_to_governance_avg(tables, spec, waits),
         "time_to_governance_daily": governance.time_to_governance_daily(tables, spec, waits),
     }
-    results |= {name: metric(tables, spec) for name, metric in GOVERNANCE.items()}
+    results |= {name: metric(tables, spec, shared) for name, metric in GOVERNANCE.items()}
     for name, df in results.items():
         write(name, shown(name, df))
+    done = session.createDataFrame([(run, list(paths))], FINISHED)
+    done.coalesce(1).write.mode("append").parquet(_runs(spec, out))
     return paths
+
+
+def _runs(spec: ChainSpec, out: str) -> str:
+    return f"{out}/{spec.label}/runs"
+
+
+def current(session: SparkSession, spec: ChainSpec, out: str) -> dict[str, str]:
+    """Paths of the tables of the newest finished run: one short row is read."""
+    runs = session.read.schema(FINISHED).parquet(_runs(spec, out))
+    newest = runs.orderBy(F.desc("run")).first()
+    return {name: f"{out}/{spec.label}/{newest['run']}/{name}" for name in newest["tables"]}

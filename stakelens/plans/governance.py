@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,15 +16,57 @@ from stakelens.sources.tables import ChainTables
 from stakelens.spec import ChainSpec
 
 
-def proposals_weekly(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+@dataclass(frozen=True)
+class Shared:
+    """What several metrics need. To compute them all, write each once (``write_gold`` does)."""
+
+    voters: DataFrame | None = None
+    proposals: DataFrame | None = None
+    debuts: DataFrame | None = None
+
+
+def voters(tables: ChainTables) -> DataFrame:
+    """Each voter's first and last vote, dated votes and proposals; a NULL voter has a row.
+
+    Output: voter, debut, last_seen, rows, n_proposals.
+    """
+    return tables.votes.groupBy("voter").agg(
+        F.min("block_timestamp").alias("debut"),
+        F.max("block_timestamp").alias("last_seen"),
+        F.count("block_timestamp").alias("rows"),
+        F.countDistinct("proposal_id").alias("n_proposals"),
+    )
+
+
+def proposals(tables: ChainTables) -> DataFrame:
+    """Each proposal's first vote, voting transactions and voters.
+
+    Output: proposal_id, debut, votes, participants.
+    """
+    return tables.votes.groupBy("proposal_id").agg(
+        F.min("block_timestamp").alias("debut"),
+        F.countDistinct("tx_id").alias("votes"),
+        F.countDistinct("voter").alias("participants"),
+    )
+
+
+def _or(shared: DataFrame | None, make, *args) -> DataFrame:
+    return make(*args) if shared is None else shared
+
+
+def proposals_weekly(
+    tables: ChainTables, spec: ChainSpec, shared: Shared = Shared()
+) -> DataFrame:
     """New and cumulative proposals by week of their first deposit (or vote).
 
     Output: weeks, new_proposals, cum_proposals.
     """
-    events = tables.proposal_deposits if spec.proposals_from == "deposits" else tables.votes
+    if spec.proposals_from == "deposits":
+        seen = db.first_seen(tables.proposal_deposits, "proposal_id", "proposal_id")
+    else:
+        seen = _or(shared.proposals, db.first_seen, tables.votes, "proposal_id", "proposal_id")
     weekly = (
-        db.first_seen(events, "proposal_id", "proposal_id")
-        .groupBy(C.period("debut", "week").alias("weeks"))
+        seen.groupBy(C.period("debut", "week").alias("weeks"))
         .agg(F.count("proposal_id").alias("new_proposals"))
     )
     return weekly.withColumn("cum_proposals", rk.running_total("weeks", "new_proposals"))
@@ -52,7 +96,10 @@ def _dated(votes: DataFrame) -> DataFrame:
 
 
 def voters_by_type(
-    tables: ChainTables, spec: ChainSpec, rows_per_task: int = sk.ROWS_PER_TASK
+    tables: ChainTables,
+    spec: ChainSpec,
+    shared: Shared = Shared(),
+    rows_per_task: int = sk.ROWS_PER_TASK,
 ) -> DataFrame:
     """Distinct voters and voting transactions per day, newcomers apart.
 
@@ -67,20 +114,26 @@ def voters_by_type(
         # Only the few validator accounts are counted. Spark may broadcast the debuts; if
         # they are too many for that, a validator has a row per own vote, which adaptive
         # execution splits.
-        return _by_type(votes.join(validator_debuts(tables, spec), "voter"), spec)
-    per_voter = votes.groupBy("voter").agg(
-        F.min("date").alias("first_vote"), F.count("*").alias("rows")
-    )
-    # The filter holds for every voter. It keeps the date in both uses of this table,
-    # which then share one shuffle.
-    debuts = per_voter.withColumnRenamed("first_vote", "debut").filter(
-        F.col("debut").isNotNull()
+        debuts = _or(shared.debuts, validator_debuts, tables, spec)
+        return _by_type(votes.join(debuts, "voter"), spec)
+    # The filter keeps the time in both uses of this table, which then share one shuffle.
+    per_voter = _or(shared.voters, _first_votes, tables.votes).filter(
+        F.col("voter").isNotNull() & F.col("debut").isNotNull()
     )
+    debuts = per_voter.select("voter", F.to_date("debut").alias("debut"), "rows")
     return _by_type(
         sk.join_split(votes, debuts, "voter", ["tx_id", "proposal_id"], rows_per_task), spec
     )
 
 
+def _first_votes(votes: DataFrame) -> DataFrame:
+    return (
+        _dated(votes)
+        .groupBy("voter")
+        .agg(F.min("block_timestamp").alias("debut"), F.count("*").alias("rows"))
+    )
+
+
 def _by_type(votes: DataFrame, spec: ChainSpec) -> DataFrame:
     return votes.groupBy("date", C.tenure("debut", "date", spec.newcomer).alias("type")).agg(
         F.countDistinct("voter").alias("voters"),
@@ -88,7 +141,9 @@ def _by_type(votes: DataFrame, spec: ChainSpec) -> DataFrame:
     )
 
 
-def avg_votes_per_voter(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def avg_votes_per_voter(
+    tables: ChainTables, spec: ChainSpec, shared: Shared = Shared()
+) -> DataFrame:
     """Mean voting transactions per voter and day, by week, newcomers apart.
 
     Votes are counted per voter and day before anything else, so a voter has at
@@ -101,7 +156,8 @@ def avg_votes_per_voter(tables: ChainTables, spec: ChainSpec) -> DataFrame:
         .agg(F.countDistinct("tx_id").alias("votes"))
     )
     if spec.newcomer == "validator":
-        voter_days = voter_days.join(validator_debuts(tables, spec), "voter")
+        debuts = _or(shared.debuts, validator_debuts, tables, spec)
+        voter_days = voter_days.join(debuts, "voter")
     else:
         # The first vote is the earliest of these days: no second read of the votes.
         voter_days = voter_days.withColumn(
@@ -117,7 +173,9 @@ def avg_votes_per_voter(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
 
 
-def vote_options(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def vote_options(
+    tables: ChainTables, spec: ChainSpec, shared: Shared = Shared()
+) -> DataFrame:
     """Voters, votes and weight per proposal and option.
 
     Output: proposal_id, vote, voters, votes, weight.
@@ -132,7 +190,9 @@ def vote_options(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
 
 
-def time_to_governance(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def time_to_governance(
+    tables: ChainTables, spec: ChainSpec, shared: Shared = Shared()
+) -> DataFrame:
     """Days from a wallet's first transaction to its first vote; may be negative.
 
     Both sides are one row per wallet before they meet. The two metrics below need
@@ -140,8 +200,11 @@ def time_to_governance(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     Output: wallet, governance_debut, days_to_vote.
     """
     wallets = db.first_seen(tables.transactions, spec.wallet_column, "wallet")
-    voters = db.first_seen(tables.votes, "voter", "wallet", "governance_debut")
-    return wallets.join(voters, "wallet").select(
+    seen = _or(shared.voters, db.first_seen, tables.votes, "voter", "voter")
+    first_votes = seen.select(
+        F.col("voter").alias("wallet"), F.col("debut").alias("governance_debut")
+    )
+    return wallets.join(first_votes, "wallet").select(
         "wallet",
         "governance_debut",
         C.days_between("debut", "governance_debut").alias("days_to_vote"),
@@ -173,17 +236,15 @@ def time_to_governance_daily(
     )
 
 
-def participation_by_debut(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def participation_by_debut(
+    tables: ChainTables, spec: ChainSpec, shared: Shared = Shared()
+) -> DataFrame:
     """Voters by day of their first vote, and on how many proposals they voted.
 
     Output: date, n_users, avg_proposals_per_user.
     """
     return (
-        tables.votes.groupBy("voter")
-        .agg(
-            F.min("block_timestamp").alias("debut"),
-            F.countDistinct("proposal_id").alias("n_proposals"),
-        )
+        _or(shared.voters, voters, tables)
         .groupBy(F.to_date("debut").alias("date"))
         .agg(
             F.count("voter").alias("n_users"),
@@ -192,22 +253,20 @@ def participation_by_debut(tables: ChainTables, spec: ChainSpec) -> DataFrame:
     )
 
 
-def participants_vs_active(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+def participants_vs_active(
+    tables: ChainTables, spec: ChainSpec, shared: Shared = Shared()
+) -> DataFrame:
     """Participants of each proposal against voters active before its first day.
 
     A proposal that nobody could precede is absent.
     Output: date, proposal_id, votes, participants, active_users.
     """
-    proposals = (
-        tables.votes.groupBy("proposal_id")
-        .agg(
-            F.to_date(F.min("block_timestamp")).alias("date"),
-            F.countDistinct("tx_id").alias("votes"),
-            F.countDistinct("voter").alias("participants"),
-        )
-    )
-    active = db.appeared_before(tables.votes, "voter")
+    opened = _or(shared.proposals, proposals, tables).withColumn("date", F.to_date("debut"))
+    if shared.voters is None:
+        active = db.appeared_before(tables.votes, "voter")
+    else:
+        active = db.spans_before(shared.voters, "voter")
     # At most one row per calendar day between the first and the last vote.
-    return proposals.join(active, "date").select(
+    return opened.join(active, "date").select(
         "date", "proposal_id", "votes", "participants", F.col("entities").alias("active_users")
     )

@@ -22,23 +22,40 @@ def stake_flows(tables: ChainTables, spec: ChainSpec, for_nakamoto: bool = False
     return fl.attribute_flows(tables.msg_attributes, legs, spec.grain)
 
 
+def stake_flows_both(tables: ChainTables, spec: ChainSpec) -> DataFrame:
+    """The flows of a network whose Nakamoto coefficient counts other ones, from one read.
+
+    Output: days, validator, flow, flow_nakamoto (NULL where there is none).
+    """
+    if spec.staking == "typed":
+        return fl.typed_flows_both(
+            tables.staking, spec.grain, spec.denom, spec.nakamoto_inbound_denom
+        )
+    return fl.attribute_flows_both(
+        tables.msg_attributes, spec.power_legs, spec.nakamoto_legs, spec.grain
+    )
+
+
 def stake_positions(
-    tables: ChainTables, spec: ChainSpec, for_nakamoto: bool = False
+    tables: ChainTables, spec: ChainSpec, for_nakamoto: bool = False,
+    flows: DataFrame | None = None,
 ) -> DataFrame:
     """Flows with each validator's running stake: days, validator, flow, cum."""
-    positions = rk.cumulative_stake(stake_flows(tables, spec, for_nakamoto))
+    flows = stake_flows(tables, spec, for_nakamoto) if flows is None else flows
+    positions = rk.cumulative_stake(flows)
     return positions.filter(F.col("cum") > 0) if spec.positive_only else positions
 
 
 def power_levels(
-    tables: ChainTables, spec: ChainSpec, for_nakamoto: bool = False
+    tables: ChainTables, spec: ChainSpec, for_nakamoto: bool = False,
+    flows: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked stakes of each period: all that the three concentration metrics need.
 
     To compute several of them, write this once and pass it to each (``write_gold``
     does).
     """
-    return rk.stake_levels(stake_positions(tables, spec, for_nakamoto))
+    return rk.stake_levels(stake_positions(tables, spec, for_nakamoto, flows))
 
 
 def power_table(tables: ChainTables, spec: ChainSpec) -> DataFrame:

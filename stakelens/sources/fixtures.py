@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stakelens.sources.tables import ChainTables, required_tables
-from stakelens.spec import ChainSpec
+from stakelens.spec import COSMOS, OSMOSIS, ChainSpec
+
+# Networks whose rows differ from those of the other network with the same kind of source,
+# so that their queries prove something of their own.
+SHIFTED = ("axelar", "terra")
 
 
 @cache
@@ -27,11 +31,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
-def _micro():
-    return F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10000
+def _micro(spec: ChainSpec):
+    """Micro-units moved by a line; a shifted network adds the number of the part."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return (cents + F.col("l_partkey") if spec.name in SHIFTED else cents) * 10000
 
 
-def staking(spark: SparkSession, sf_dir: str, denom: str = "uosmo") -> DataFrame:
+def staking(spark: SparkSession, sf_dir: str, spec: ChainSpec = OSMOSIS) -> DataFrame:
     """Typed staking actions; every first line of an order appears twice."""
     copies = F.when(F.col("l_linenumber") == 1, F.array(F.lit(1), F.lit(2))).otherwise(
         F.array(F.lit(1))
@@ -53,14 +59,15 @@ def staking(spark: SparkSession, sf_dir: str, denom: str = "uosmo") -> DataFrame
                 F.col("l_returnflag") == "N",
                 (F.col("l_suppkey") + F.col("l_linenumber")).cast("string"),
             ).alias("redelegate_source_validator_address"),
-            _micro().cast("decimal(38,0)").alias("amount"),
-            F.when(F.col("l_linenumber") == 7, "uion").otherwise(denom).alias("currency"),
+            _micro(spec).cast("decimal(38,0)").alias("amount"),
+            F.when(F.col("l_linenumber") == 7, "uion").otherwise(spec.denom).alias("currency"),
         )
     )
 
 
-def msg_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def msg_attributes(spark: SparkSession, sf_dir: str, spec: ChainSpec = COSMOS) -> DataFrame:
     """Key/value message attributes: amount, shares and one or two validators each."""
+    micro = _micro(spec)
     lines = _read(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").alias("block_timestamp"),
         F.col("l_orderkey").cast("string").alias("tx_id"),
@@ -73,9 +80,9 @@ def msg_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("uatom")
         .alias("denom"),
         F.when(
-            (F.col("l_linenumber") == 5) & (F.col("l_quantity") == 50), _micro() * 1000000
+            (F.col("l_linenumber") == 5) & (F.col("l_quantity") == 50), micro * 1000000
         )
-        .otherwise(_micro())
+        .otherwise(micro)
         .cast("string")
         .alias("micro"),
         F.concat(F.lit("val"), F.col("l_suppkey").cast("string")).alias("validator"),
@@ -146,10 +153,13 @@ def proposal_deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, wallet_column: str = "tx_from") -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, spec: ChainSpec = OSMOSIS) -> DataFrame:
+    """One for each order; a shifted network has them up to 59 days later, by customer."""
+    at = F.col("o_orderdate")
+    if spec.name in SHIFTED:
+        at = at + F.make_dt_interval((F.col("o_custkey") % 60).cast("int"))
     return _read(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").alias("block_timestamp"),
-        F.col("o_custkey").cast("string").alias(wallet_column),
+        at.alias("block_timestamp"), F.col("o_custkey").cast("string").alias(spec.wallet_column)
     )
 
 
@@ -169,11 +179,11 @@ def chain_tables(
 ) -> ChainTables:
     """The named inputs of a network, or all that its metrics read."""
     makers = {
-        "staking": lambda: staking(spark, sf_dir, spec.denom),
-        "msg_attributes": lambda: msg_attributes(spark, sf_dir),
+        "staking": lambda: staking(spark, sf_dir, spec),
+        "msg_attributes": lambda: msg_attributes(spark, sf_dir, spec),
         "votes": lambda: votes(spark, sf_dir),
         "proposal_deposits": lambda: proposal_deposits(spark, sf_dir),
-        "transactions": lambda: transactions(spark, sf_dir, spec.wallet_column),
+        "transactions": lambda: transactions(spark, sf_dir, spec),
         "labels": lambda: address_labels(spark, sf_dir),
     }
     return ChainTables(**{name: makers[name]() for name in names or required_tables(spec)})
