@@ -26,6 +26,7 @@ from stakelens.llm import (
     tokens,
     warc,
 )
+from stakelens.llm.components import components
 from stakelens.llm.queries import TOKENIZER
 
 DOC = "doc_id long, text string"
@@ -371,3 +372,13 @@ def test_pipeline(spark, tmp_path):
     want = (set(range(40)) - {0}) | {40}
     assert {p.doc_id for p in pieces} == want
     assert all(p.ids_crc32 for p in pieces) and zlib.crc32(b"") == 0
+
+
+def test_components_of_a_path_a_star_and_odd_edges(spark):
+    path = [(i, i + 1) for i in range(1, 40)]
+    star = [(90, i) for i in range(50, 80)] * 2
+    odd = [(None, 1), (200, 200), (300, 299)]
+    found = components(spark.createDataFrame(path + star + odd, "a long, b long")).collect()
+    want = {i: 1 for i in range(1, 41)} | {i: 50 for i in [*range(50, 80), 90]}
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.label for r in found} == want | {299: 299, 300: 299}
