@@ -4,9 +4,11 @@ A page is read as a list of words and tags. Words score positive, tags negative,
 linear scan finds the run of highest total: the content region. The weights are fitted on
 labelled pages: pages whose markup names its content by exactly one <article> or <main>. A
 tag that stands outside labelled content costs more than one that stands inside, and words
-whose nearest container (tag, or a word of its class, id or role) holds content in labelled
-pages weigh more than others. Inside the region, menus, forms, notices and the like are
-left out by their element or by the words of their class, id or role.
+whose nearest container holds content in labelled pages weigh more than others. Menus, forms,
+notices and the like are left out by their element or by the words of their class, id or
+role: neither their words nor their tags count, so that a box in mid-article does not end
+the run. Nor do tags inside an <article> or <main> that holds content, or those of lists and
+tables inside another element that does (html and body apart).
 
 Defined results: a null or empty page, and one without words, give an empty text. Null ids
 and urls are kept. Rows are independent, so repeated rows and ties do not matter (of equal
@@ -43,6 +45,9 @@ SPACING = frozenset(("br", "td", "th", "wbr"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
                   "param", "source", "track", "wbr"))
 CONTENT = frozenset(("article", "main"))
+PARAGRAPHS = frozenset(("blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "p", "pre"))
+LISTS = frozenset(("dd", "dl", "dt", "li", "ol", "table", "tbody", "td", "tfoot", "th", "thead",
+                   "tr", "ul"))
 # Words of a class, id or role that name something beside the article.
 BESIDE = frozenset(("ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb",
                     "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie",
@@ -65,7 +70,10 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n
 
 
 class Token(NamedTuple):
-    """A tag (`tag` set) or a piece of text, the container it is in, and whether it is left out."""
+    """A tag (`tag` set) or a piece of text, the container it is in, and whether it is left out.
+
+    `free`: a tag inside an element that holds content already, which costs nothing.
+    """
 
     tag: str
     text: str
@@ -73,6 +81,7 @@ class Token(NamedTuple):
     container: str
     dropped: bool
     labelled: bool
+    free: bool = False
 
 
 class Weights(NamedTuple):
@@ -87,12 +96,29 @@ class _Open(NamedTuple):
     container: str
     dropped: bool
     labelled: bool
+    article: int  # its place among the open elements, 0 if there is none
 
 
 def tokens(page: str) -> list[Token]:
     """The words and tags of a page in order, with what surrounds them."""
     found: list[Token] = []
-    stack = [_Open("", "", False, False)]
+    stack = [_Open("", "", False, False, 0)]
+    holding = [""]  # for each open element: what it is to the tags inside, once it holds words
+    held = Counter()
+
+    def close(depth: int) -> None:
+        held.subtract(holding[depth:])
+        del stack[depth:], holding[depth:]
+
+    def hold(k: int) -> None:
+        name = stack[k].name
+        if name not in ("", "html", "body", *PARAGRAPHS) and not holding[k]:
+            holding[k] = "content" if name in CONTENT else "other"
+            held[holding[k]] += 1
+
+    def free(name: str) -> bool:
+        return held["content"] > 0 or name in LISTS and held["other"] > 0
+
     at, n = 0, len(page)
     while at < n:
         match = _TOKEN.match(page, at)
@@ -103,28 +129,38 @@ def tokens(page: str) -> list[Token]:
             if not text.startswith(("<!", "<?")):
                 n_words = len(text.split())
                 found.append(Token("", text, n_words, top.container, top.dropped, top.labelled))
+                if n_words and not top.dropped:
+                    k = len(stack) - 1
+                    hold(k)
+                    while stack[k].name in PARAGRAPHS:
+                        k -= 1
+                        hold(k)
+                    if top.article:
+                        hold(top.article)
             continue
         if match[1]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+            dropped = stack[depth or -1].dropped  # a tag that ends a dropped box belongs to it
             if depth:
-                del stack[depth:]
-            inside = stack[-1]
-            found.append(Token(name, "", 0, "", inside.dropped, inside.labelled))
+                close(depth)
+            found.append(Token(name, "", 0, "", dropped, stack[-1].labelled, free(name)))
             continue
         if name == "p" or name == "li":  # these end an open one of their kind
             if stack[-1].name == name:
-                stack.pop()
+                close(len(stack) - 1)
                 top = stack[-1]
         parts = _names(match[3])
         beside = name not in CONTENT and name not in ("html", "body") and bool(parts & BESIDE)
         dropped = top.dropped or name in DROPPED or beside
-        found.append(Token(name, "", 0, "", dropped, top.labelled))
+        found.append(Token(name, "", 0, "", dropped, top.labelled, free(name)))
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
         elif name in BLOCKS and name not in VOID and not match[3].rstrip().endswith("/"):
             key = min(parts & BESIDE) if beside else name
-            stack.append(_Open(name, key, dropped, top.labelled or name in CONTENT))
+            article = len(stack) if name == "article" else top.article
+            stack.append(_Open(name, key, dropped, top.labelled or name in CONTENT, article))
+            holding.append("")
     return found
 
 
@@ -143,11 +179,12 @@ def fit(pages: Iterable[str]) -> Weights:
         if sum(t.tag in CONTENT for t in read) not in (1, 2):
             continue
         for t in read:
-            inside = t.labelled and not t.dropped
+            if t.dropped:  # has no part in a score
+                continue
             if t.tag:
-                tags[t.tag, inside] += 1
+                tags[t.tag, t.labelled] += 1
             elif t.n_words:
-                words[t.container, inside] += t.n_words
+                words[t.container, t.labelled] += t.n_words
     word: dict[str | None, float] = {None: 0.5}
     for key in {k for k, _ in words}:
         word[key] = (words[key, True] + 0.5) / (words[key, True] + words[key, False] + 1)
@@ -165,9 +202,11 @@ def region(read: list[Token], weights: Weights) -> tuple[int, int]:
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     word, tag = weights
     for k, t in enumerate(read):
-        if t.tag:
-            total -= tag.get(t.tag, tag[None])
-        elif t.n_words and not t.dropped:
+        if t.dropped:
+            pass
+        elif t.tag:
+            total -= 0.0 if t.free else tag.get(t.tag, tag[None])
+        elif t.n_words:
             total += t.n_words * word.get(t.container, word[None])
         if total <= 0:
             total, start = 0.0, k + 1

@@ -204,6 +204,35 @@ def test_main_text():
     assert main_text.extract(None, weights) == main_text.extract("<nav>a</nav>", weights) == ""
 
 
+MENU = "".join(f"<li><a href=x>item {i}</a></li>" for i in range(6))
+GIVEN = (f"<body><nav><ul>{MENU}</ul></nav><article><h1>A head</h1>"
+         f"<p>{'word ' * 50}</p></article><footer>foot</footer>")
+
+
+@pytest.mark.parametrize("box", ["<div class=share>%s</div>", "<aside>%s</aside>", "<nav>%s</nav>"])
+def test_main_text_goes_on_after_a_box(box):
+    weights = main_text.fit([GIVEN] * 20)
+    box = box % f"<ul>{MENU * 3}</ul>"
+    page = f"<body><article><h1>Head</h1><p>{'word ' * 60}</p>{box}<p>the short end</p></article>"
+    for first, last in (("Head", "the short end"), ("the short end", "Head")):
+        turned = page.replace("Head", "?").replace("the short end", last).replace("?", first)
+        out = main_text.extract(turned, weights).split("\n\n")
+        assert [out[0], out[-1], len(out)] == [first, last, 3]
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div id=x>", "</div>"),
+                                          ("<article><div>", "</div></article>")])
+def test_main_text_ends_with_a_list_of_short_items(open_, close):
+    menu = f"<div><ul>{'<li>go on' * 6}</ul></div>"
+    known = GIVEN.replace("<nav>", menu).replace("</article>", "<ul><li>so it is</ul></article>")
+    weights = main_text.fit([known] * 20)
+    items = "".join(f"<li>item {i}</li>" for i in range(9))
+    page = f"<body>{menu}{open_}<p>{'word ' * 60}</p><ul>{items}</ul>{close}{menu * 4}"
+    out = main_text.extract(page, weights).split("\n\n")
+    assert out[0].startswith("word") and out[1:10] == [f"item {i}" for i in range(9)]
+    assert len(out) == 10
+
+
 @pytest.mark.parametrize("small", [2, 16])
 def test_ngram_join(spark, small):
     rows = some_texts(5, 70) + [(900, "w1 w2 w3 w4 w5")]
