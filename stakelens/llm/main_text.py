@@ -10,6 +10,12 @@ role: neither their words nor their tags count, so that a box in mid-article doe
 the run. Nor do tags inside an <article> or <main> that holds content, or those of lists and
 tables inside another element that does (html and body apart).
 
+A name is sure if it is one of those words ("comments"), and a hint if it has one as a part
+("has-sidebar", "site-footer"). A box with a hint stays if it holds half of the words that are
+left without the surely named boxes, and what is in an <article> or <main> stays in any case.
+A surely named box takes its articles with it only if the articles and mains outside of such
+boxes have more words than those in it, as they have beside comments or teasers.
+
 Defined results: a null or empty page, and one without words, give an empty text. Null ids
 and urls are kept. Rows are independent, so repeated rows and ties do not matter (of equal
 totals the first, shortest run wins). Unclosed elements end with their parent. Columns
@@ -44,6 +50,7 @@ BLOCKS = frozenset(("address", "article", "blockquote", "body", "dd", "details",
 SPACING = frozenset(("br", "td", "th", "wbr"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
                   "param", "source", "track", "wbr"))
+PAGE = frozenset(("html", "body"))
 CONTENT = frozenset(("article", "main"))
 PARAGRAPHS = frozenset(("blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "p", "pre"))
 LISTS = frozenset(("dd", "dl", "dt", "li", "ol", "table", "tbody", "td", "tfoot", "th", "thead",
@@ -93,16 +100,57 @@ class Weights(NamedTuple):
 
 class _Open(NamedTuple):
     name: str
-    container: str
-    dropped: bool
+    kind: str  # "sure" or "hint" for a named box, else "content" or ""
+    dropped: bool  # by its element
     labelled: bool
     article: int  # its place among the open elements, 0 if there is none
+    scope: int
+
+
+class _Scope:
+    """A part of a page that is judged as a whole: a named box, or an article or main."""
+
+    def __init__(self, parent: int, kind: str, labelled: bool):
+        self.parent, self.kind, self.labelled = parent, kind, labelled
+        self.words = 0
+
+
+def _left_out(scopes: list[_Scope]) -> list[bool]:
+    """Which parts are left out by the names of what they are in. Parents come first."""
+    inner = [s.words if s.kind == "content" else 0 for s in scopes]
+    for k in range(len(scopes) - 1, 0, -1):
+        inner[scopes[k].parent] += inner[k]
+    named, outside = [False], 0
+    for s in scopes[1:]:
+        named.append(named[s.parent] or s.kind == "sure")
+        outside += s.words if s.labelled and not named[-1] else 0
+
+    def judged(stays: list[bool]) -> list[bool]:
+        out, whole = [False], [False]
+        for k, s in enumerate(scopes[1:], 1):
+            up, all_ = out[s.parent], whole[s.parent]
+            if s.kind == "sure":
+                up, all_ = True, all_ or outside > inner[k]
+            elif s.kind == "hint":
+                up = up or not stays[k]
+            else:
+                up = up and all_
+            out.append(up)
+            whole.append(all_)
+        return out
+
+    sure = judged([True] * len(scopes))
+    words = [0 if gone else s.words for s, gone in zip(scopes, sure, strict=True)]
+    for k in range(len(scopes) - 1, 0, -1):
+        words[scopes[k].parent] += words[k]
+    return judged([2 * n >= words[0] for n in words])
 
 
 def tokens(page: str) -> list[Token]:
     """The words and tags of a page in order, with what surrounds them."""
     found: list[Token] = []
-    stack = [_Open("", "", False, False, 0)]
+    of: list[int] = []  # the scope of each token
+    stack, scopes = [_Open("", "", False, False, 0, 0)], [_Scope(0, "", False)]
     holding = [""]  # for each open element: what it is to the tags inside, once it holds words
     held = Counter()
 
@@ -112,7 +160,7 @@ def tokens(page: str) -> list[Token]:
 
     def hold(k: int) -> None:
         name = stack[k].name
-        if name not in ("", "html", "body", *PARAGRAPHS) and not holding[k]:
+        if name and name not in PAGE and name not in PARAGRAPHS and not holding[k]:
             holding[k] = "content" if name in CONTENT else "other"
             held[holding[k]] += 1
 
@@ -128,11 +176,13 @@ def tokens(page: str) -> list[Token]:
             text = match[0]
             if not text.startswith(("<!", "<?")):
                 n_words = len(text.split())
-                found.append(Token("", text, n_words, top.container, top.dropped, top.labelled))
+                found.append(Token("", text, n_words, top.name, top.dropped, top.labelled))
+                of.append(top.scope)
                 if n_words and not top.dropped:
+                    scopes[top.scope].words += n_words
                     k = len(stack) - 1
                     hold(k)
-                    while stack[k].name in PARAGRAPHS:
+                    while stack[k].name in PARAGRAPHS and stack[k].kind != "sure":
                         k -= 1
                         hold(k)
                     if top.article:
@@ -140,35 +190,45 @@ def tokens(page: str) -> list[Token]:
             continue
         if match[1]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            dropped = stack[depth or -1].dropped  # a tag that ends a dropped box belongs to it
+            ended = stack[depth or -1]  # a tag that ends a dropped box belongs to it
             if depth:
                 close(depth)
-            found.append(Token(name, "", 0, "", dropped, stack[-1].labelled, free(name)))
+            found.append(Token(name, "", 0, "", ended.dropped, stack[-1].labelled, free(name)))
+            of.append(ended.scope)
             continue
         if name == "p" or name == "li":  # these end an open one of their kind
             if stack[-1].name == name:
                 close(len(stack) - 1)
                 top = stack[-1]
-        parts = _names(match[3])
-        beside = name not in CONTENT and name not in ("html", "body") and bool(parts & BESIDE)
-        dropped = top.dropped or name in DROPPED or beside
+        kind = "content" if name in CONTENT else _named(match[3]) if name not in PAGE else ""
+        dropped, scope = top.dropped or name in DROPPED, top.scope
+        if kind and not dropped:
+            scope = len(scopes)
+            scopes.append(_Scope(top.scope, kind, top.labelled or name in CONTENT))
         found.append(Token(name, "", 0, "", dropped, top.labelled, free(name)))
+        of.append(scope)
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
         elif name in BLOCKS and name not in VOID and not match[3].rstrip().endswith("/"):
-            key = min(parts & BESIDE) if beside else name
-            article = len(stack) if name == "article" else top.article
-            stack.append(_Open(name, key, dropped, top.labelled or name in CONTENT, article))
+            article = len(stack) if name == "article" else 0 if kind == "sure" else top.article
+            labelled = top.labelled or name in CONTENT
+            stack.append(_Open(name, kind, dropped, labelled, article, scope))
             holding.append("")
+    out = _left_out(scopes)
+    if any(out):
+        found = [t._replace(dropped=True) if out[s] else t for t, s in zip(found, of, strict=True)]
     return found
 
 
-def _names(attributes: str) -> frozenset[str]:
+def _named(attributes: str) -> str:
+    """What class, id and role say: "sure" or a "hint" that it is beside the article, or ""."""
     if "=" not in attributes:
-        return frozenset()
-    values = (" ".join(m) for m in _NAMES.findall(attributes))
-    return frozenset(p.lower() for v in values for p in _PARTS.findall(v))
+        return ""
+    names = " ".join(" ".join(m) for m in _NAMES.findall(attributes)).lower()
+    if not BESIDE.isdisjoint(names.split()):
+        return "sure"
+    return "" if BESIDE.isdisjoint(_PARTS.findall(names)) else "hint"
 
 
 def fit(pages: Iterable[str]) -> Weights:

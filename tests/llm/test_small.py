@@ -233,6 +233,23 @@ def test_main_text_ends_with_a_list_of_short_items(open_, close):
     assert len(out) == 10
 
 
+@pytest.mark.parametrize("names", ['class="has-sidebar"', "class=no-comments", 'id="search-page"',
+                                   'class="x page-with-header"', "class=search", "role='search'"])
+def test_main_text_keeps_articles_in_named_wrappers(names):
+    weights = main_text.fit([GIVEN] * 20)
+    article = f"<h1>Head</h1><p>{'word ' * 30}</p><p>the end</p>"
+    for tag in ("article", "main"):
+        page = f"<body><div {names}><div><{tag}>{article}</{tag}></div></div><div class=menu>{MENU}</div>"
+        for whole in (page, page.replace("<body>", "<body><main><h1>Site</h1>")):
+            out = main_text.extract(whole, weights).split("\n\n")
+            assert out[-3:] == ["Head", ("word " * 30).strip(), "the end"]
+    box = "<div class=comments><article>a reply</article></div><div class='site-footer'>no</div>"
+    page = f"<body><div class=has-sidebar>{article}</div>{box}"
+    assert main_text.extract(f"<article>{article}</article>{box}", weights).endswith("the end")
+    assert "no" not in main_text.extract(page, weights)
+    assert main_text.extract(page.replace("a reply", ""), weights).endswith("the end")
+
+
 @pytest.mark.parametrize("small", [2, 16])
 def test_ngram_join(spark, small):
     rows = some_texts(5, 70) + [(900, "w1 w2 w3 w4 w5")]
