@@ -391,6 +391,24 @@ def test_co_training_on_held_out_rows(spark):
     assert 0 <= out[None].score <= 1
 
 
+def test_co_training_learns_from_all_unlabelled_rows(spark):
+    """Junk that no label has, in the rows that a pool by hash (4,000 of 8,000) takes last."""
+    ids = spark.range(9000).selectExpr("id", "xxhash64(id, 7) AS h").orderBy("h").collect()
+    pick, rows, labels = random.Random(9), [], []
+    for place, (i, _) in enumerate(ids):
+        good, new = place % 3 != 0, place >= 8500
+        words = "z" if new else "g" if good else "b"
+        text = " ".join(f"{words}{pick.randrange(12)}" for _ in range(8))
+        rows.append((i, text, "en", "s3" if new or not good else "s1", len(text)))
+        if place < 300:
+            labels.append((i, int(good)))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in co_training.scored(make(spark, rows, schema), known).collect()}
+    new = [out[i].text_score for i, _ in ids[8500:]]
+    assert np.mean(new) < 0.1 and max(new) < 0.5
+
+
 def test_empty_tables(spark):
     docs = make(spark, [], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
