@@ -129,6 +129,128 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM owned GROUP BY doc_id"""
 
 
+_CAPITALS_OUT = f"translate(text, {_CAPITALS})"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+def _tree(name: str, group: str, start: str) -> str:
+    """Levels of hash trees: `grp`, `level`, `pos`, `hash`, and how many nodes the level has."""
+    return f"""{name}(grp, level, pos, hash, size) AS (
+  {start}
+  UNION ALL
+  SELECT grp, level + 1, pos // 16, sha256(string_agg(hash, '' ORDER BY pos)), (size + 15) // 16
+  FROM {name} WHERE size > 1 GROUP BY grp, level, pos // 16, size)"""
+
+
+# A document goes up the levels of its source, then those of the sources; `low` and `high` are
+# the siblings on its left and right there. CRC-32 is worked out bit by bit.
+_MERKLE = f"""WITH RECURSIVE bits(doc_id, rest, crc) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM documents
+  WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, substr(rest, 2), list_reduce(
+    list_prepend(xor(crc, CAST(ascii(rest) AS BIGINT)), CAST(range(8) AS BIGINT[])),
+    lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))
+  FROM bits WHERE rest <> ''),
+crcs AS (SELECT doc_id, xor(crc, 4294967295) AS crc FROM bits WHERE rest = ''),
+leaves AS (
+  SELECT doc_id, coalesce('1' || source, '') AS grp, {_leaf("text")} AS leaf,
+    CASE WHEN crc % 5 = 0 THEN {_leaf(_CAPITALS_OUT)} ELSE {_leaf("text")} END AS seen,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS size
+  FROM documents LEFT JOIN crcs USING (doc_id)),
+{_tree("inner_nodes", "grp", "SELECT grp, 0, pos, leaf, size FROM leaves")},
+subroots AS (
+  SELECT grp, hash, level AS depth, row_number() OVER (ORDER BY grp) - 1 AS place,
+    count(*) OVER () AS size FROM inner_nodes WHERE size = 1),
+{_tree("top_nodes", "grp", "SELECT 'top', 0, place, hash, size FROM subroots")},
+steps AS (
+  SELECT doc_id, s.grp, s.depth, s.place, l.pos, unnest(range(s.depth + 9)) AS step
+  FROM leaves l JOIN subroots s USING (grp)),
+places AS (
+  SELECT doc_id, step, step >= depth AS upper, CASE WHEN step >= depth THEN 'top' ELSE grp END AS grp,
+    CASE WHEN step >= depth THEN step - depth ELSE step END AS level,
+    CASE WHEN step >= depth THEN place // CAST(pow(16, step - depth) AS BIGINT)
+      ELSE pos // CAST(pow(16, step) AS BIGINT) END AS pos
+  FROM steps),
+nodes AS (
+  SELECT false AS upper, * FROM inner_nodes UNION ALL SELECT true, * FROM top_nodes),
+sides AS (
+  SELECT doc_id, step,
+    coalesce(string_agg(n.hash, '' ORDER BY n.pos) FILTER (n.pos < p.pos), '') AS low,
+    coalesce(string_agg(n.hash, '' ORDER BY n.pos) FILTER (n.pos > p.pos), '') AS high
+  FROM places p JOIN nodes n
+    ON n.upper = p.upper AND n.grp = p.grp AND n.level = p.level AND n.pos // 16 = p.pos // 16
+  WHERE n.size > 1 GROUP BY doc_id, step),
+proofs AS (
+  SELECT doc_id, sha256(string_agg(low || high, '' ORDER BY step)) AS proof_sha256,
+    max(step) AS last FROM sides GROUP BY doc_id),
+climb(doc_id, step, hash) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), seen FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.step + 1, sha256(low || hash || high)
+  FROM climb c JOIN sides s ON s.doc_id = c.doc_id AND s.step = c.step),
+ends AS (SELECT doc_id, arg_max(hash, step) AS folded_root FROM climb GROUP BY doc_id)
+SELECT doc_id, leaf, r.hash AS subroot, t.hash AS root,
+  coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.hash AS verified
+FROM leaves JOIN subroots r USING (grp) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+  JOIN top_nodes t ON t.size = 1"""
+
+
+def _round(n: int) -> str:
+    """Codebooks n, from the parts and codebooks n - 1."""
+    old = f"books{n - 1}"
+    return f"""{_nearest(f"near{n}", old)},
+means{n} AS (
+  SELECT part, entry, place, sum(x) AS total, count(*) AS n FROM (
+    SELECT p.part, entry, unnest(p.v) AS x, generate_subscripts(p.v, 1) AS place
+    FROM parts p JOIN near{n} USING (row, part)) GROUP BY ALL),
+moved{n} AS (
+  SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY place) AS v
+  FROM means{n} GROUP BY ALL),
+books{n} AS (
+  SELECT part, entry, coalesce(m.v, b.v) AS v FROM {old} b LEFT JOIN moved{n} m USING (part, entry))"""
+
+
+def _nearest(name: str, books: str) -> str:
+    """The nearest entry of each part, the least of equals, and its distance."""
+    return f"""{name} AS (
+  SELECT row, part, min(far * 256 + entry) % 256 AS entry, min(far) AS far FROM (
+    SELECT row, part, entry, list_sum(list_transform(list_zip(p.v, b.v),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far
+    FROM parts p JOIN {books} b USING (part)) GROUP BY ALL)"""
+
+
+_CODES = f"""WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding,
+    lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT row, part, ints[part * (len(ints) // 4) + 1 : (part + 1) * (len(ints) // 4)] AS v
+  FROM kept, range(4) p(part)),
+books0 AS MATERIALIZED (SELECT part, row AS entry, v FROM parts WHERE row < 256),
+{", ".join(_round(n) for n in range(1, 5)).replace(" AS (", " AS MATERIALIZED (")},
+{_nearest("last", "books4")},
+codes AS (
+  SELECT row, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code,
+    CAST(sum(far) AS BIGINT) AS error FROM last GROUP BY row),
+named AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM books4)
+SELECT vec_id, code, error,
+  CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (row), named"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _QUALITY,
@@ -137,4 +259,6 @@ def sql() -> dict[str, str]:
         "op4_content_sort": _CONTENT_SORT,
         "op7_ngram_join": _NGRAMS,
         "op8_line_dedup": _LINES,
+        "op12_merkle_pivot": _MERKLE,
+        "op13_value_codes": _CODES,
     }

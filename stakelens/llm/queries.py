@@ -5,24 +5,29 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stakelens.llm import (
     co_training,
     content_sort,
+    group_packing,
     line_dedup,
     main_text,
+    merkle_pivot,
     ngram_join,
     packing,
     quality_rules,
     scratch,
     soft_mixing,
     substring_dedup,
+    value_codes,
     warc,
 )
 
 TOKENIZER = os.environ.get("LLM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +89,20 @@ def op10_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_group_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = group_packing.packed(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return placed.drop("part", "nth")
+
+
+def op12_merkle_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merkle_pivot.manifest(docs, merkle_pivot.tampered_text())
+
+
+def op13_value_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_codes.compressed(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -98,5 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_line_dedup,
             op9_packing,
             op10_co_training,
+            op11_group_packing,
+            op12_merkle_pivot,
+            op13_value_codes,
         )
     }

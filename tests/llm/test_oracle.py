@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(oracle.sql()))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     want = con.execute(oracle.sql()[name])
     names = sorted(c[0] for c in want.description)
