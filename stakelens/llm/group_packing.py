@@ -30,7 +30,10 @@ read. Ids stay in the stored pieces; `with_ids` attaches them.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,12 +41,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stakelens.llm.scratch import stored
+from stakelens.llm.tokens import letters_to_bytes
 
 CAPACITY = 4096
 GROUPS = 48
@@ -64,29 +69,89 @@ class WordEncoder(dict):
     """Maps a word to the bytes of its 32-bit little-endian ids, under a tokenizer file.
 
     For tokenizers that drop white space: no token spans a space or an end of line, so texts
-    are cut there, and the ids of short words are kept, up to `CACHED_WORDS` of them.
+    are cut there, and the ids of short words are kept, up to `CACHED_WORDS` of them. Words of
+    Latin letters, digits and signs are cut into pieces here and merged by a faster library
+    with the same vocabulary; all others are left to the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are laid out for little-endian machines")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine already
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [token["content"] for token in spec["added_tokens"]]
+        self.merge = _merger(spec)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.whole.encode(word, add_special_tokens=False).ids
-        found = np.asarray(ids, "<u4").tobytes()
+        found = array("I", self._ids(word)).tobytes()
         if len(word) <= CACHED_LENGTH and len(self) < CACHED_WORDS:
             self[word] = found
         return found
 
+    def _ids(self, word: str) -> list[int]:
+        if not self.merge or not (word.isascii() or _PLAIN.fullmatch(word)):
+            return self.whole.encode(word, add_special_tokens=False).ids
+        if word.isalpha():  # one piece
+            return self.merge(word.lower().encode() + _WORD_END)
+        if not word.isprintable() or any(s in word for s in self.special):
+            return self.whole.encode(word, add_special_tokens=False).ids
+        ids: list[int] = []
+        for piece in _PIECE.findall(word.lower()):
+            ids += self.merge(piece.encode() + _WORD_END)
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, four bytes each; none for null."""
         words = (text or "").replace("\n", " ").split(" ")
         return b"".join(map(self.__getitem__, words))
 
 
+# Letters that composition leaves as they are and that have one lower-case letter each.
+_PLAIN = regex.compile(r"[!-~À-ÖØ-öø-įĲ-ſƀ-ɏ]+")
+# The pattern by which the tokenizer cuts words, and its mark of a word's end.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SUFFIX = "</w>"
+_PIECE = regex.compile(_PATTERN)
+_WORD_END = b"\xff"  # stands for the mark, as this byte is in no text
+
+
+def _merger(spec: dict):
+    """Ids of the bytes of a piece with `_WORD_END`; None if the file is of another kind."""
+    import tiktoken
+
+    model, cutter = spec["model"], spec["pre_tokenizer"] or {}
+    cutters = cutter.get("pretokenizers", [])
+    normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    if (
+        model["type"] != "BPE"
+        or model.get("end_of_word_suffix") != _SUFFIX
+        or model.get("continuing_subword_prefix")
+        or normalizers != ["NFC", "Replace", "Lowercase"]
+        or [c["type"] for c in cutters] != ["Split", "ByteLevel"]
+        or cutters[0]["pattern"].get("Regex") != _PATTERN
+    ):
+        return None
+    special = {token["content"] for token in spec["added_tokens"]}
+    byte_of = letters_to_bytes()
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    first = 2 * len(byte_of)  # every byte, and every byte at the end of a word
+    if any(model["vocab"].get(token) != first + k for k, token in enumerate(merged)):
+        return None
+    ranks = {}
+    for token, i in model["vocab"].items():
+        if token not in special:
+            ended = token.endswith(_SUFFIX) and token != _SUFFIX
+            own = token[: -len(_SUFFIX)] if ended else token
+            ranks[bytes(byte_of[c] for c in own) + (_WORD_END if ended else b"")] = i
+    held = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    return held._encode_single_piece
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

@@ -73,7 +73,7 @@ def _ranked(spec: dict):
     if not plain or model["type"] != "BPE" or cutter.get("add_prefix_space"):
         return None
     special = {t["content"] for t in spec["added_tokens"]}
-    byte_of = _bytes_by_letter()
+    byte_of = letters_to_bytes()
     ranks = {
         bytes(byte_of[c] for c in token): i
         for token, i in model["vocab"].items()
@@ -85,7 +85,7 @@ def _ranked(spec: dict):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _bytes_by_letter() -> dict[str, int]:
+def letters_to_bytes() -> dict[str, int]:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves, others from U+0100 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     hidden = [b for b in range(256) if b not in shown]
