@@ -206,7 +206,7 @@ def manifest(docs: DataFrame, seen_text: Column | None = None) -> DataFrame:
     if end is None:
         return spark.createDataFrame([], RESULT)
     nothing = F.array().cast("array<struct<left:string,right:string>>")
-    paths = top.proofs(spark.range(1).select(F.lit(0).alias("tree"), nothing.alias("path")))
+    paths = top.proofs(top.roots.select("tree", nothing.alias("path")))
     paths = stored(
         paths.select(F.col("of").alias("tree"), F.col("hash").alias("subroot"), "path"), "paths"
     )
