@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 
@@ -12,6 +14,10 @@ from pyspark.sql import Window as W
 # Slices per factor of ten; one slice holds values within about 0.02 % of each other.
 SLICES_PER_DECADE = 10_000
 
+# Parts that validators are dealt to; more than there are tasks, few enough to merge ties.
+SALT = "salt"
+SALTS = 1024
+
 # What is added up downwards through the stakes of a period.
 SUMMED = ("validators", "stake", "flow")
 
@@ -25,13 +31,46 @@ def running_total(period: str, value: str) -> Column:
     return F.sum(value).over(W.orderBy(period))
 
 
-def cumulative_stake(flows: DataFrame) -> DataFrame:
-    """Adds ``cum``, the running stake of each validator.
+def cumulative_stake(flows: DataFrame, opening: DataFrame | None = None) -> DataFrame:
+    """Adds ``cum``, the running stake of each validator, and ``salt``, its part of the rows.
 
-    A validator has at most one row per calendar period, which bounds the window.
+    A validator has at most one row per calendar period, which bounds the window. With
+    ``opening`` (validator, balance), the stakes at the end of the period before, later flows
+    are enough: the running stakes are those over all flows.
+    """
+    dealt = flows.withColumn(SALT, F.pmod(F.xxhash64("validator"), F.lit(SALTS))).repartition(SALT)
+    # Grouped by salt, rows stay where they are for this window and for `stake_levels`.
+    running = F.sum("flow").over(W.partitionBy(SALT, "validator").orderBy("days"))
+    if opening is None:
+        return dealt.withColumn("cum", running)
+    known = opening.select("validator", "balance")
+    started = dealt.withColumn("cum", running).join(known, "validator", "left")
+    cum = F.col("cum") + F.coalesce("balance", F.lit(0).cast("decimal(38,0)"))
+    return started.withColumn("cum", cum.cast("decimal(38,0)")).drop("balance")
+
+
+def closing_balances(
+    positions: DataFrame, opening: DataFrame | None, first: date, last: date
+) -> DataFrame:
+    """Stake of every validator at the end of each month from ``first`` to ``last``.
+
+    ``positions`` has days, validator and cum in these months, ``opening`` the balances before
+    them. A validator keeps its stake in months without a movement.
+    Output: month, validator, balance.
     """
-    return flows.withColumn(
-        "cum", F.sum("flow").over(W.partitionBy("validator").orderBy("days"))
+    month = F.trunc("days", "month").alias("month")
+    moved = positions.groupBy("validator", month).agg(F.max_by("cum", "days").alias("balance"))
+    if opening is not None:
+        before = F.add_months(F.lit(first), -1).alias("month")
+        moved = moved.unionByName(opening.select("validator", before, "balance"))
+    following = F.lead("month").over(W.partitionBy("validator").orderBy("month"))
+    until = F.coalesce(F.add_months(following, -1), F.lit(last))
+    held = F.explode(F.sequence("month", "until", F.expr("INTERVAL 1 MONTH"))).alias("month")
+    return (
+        moved.withColumn("until", until)
+        .select("validator", "balance", held)
+        .filter(F.col("month") >= F.lit(first))
+        .select("month", "validator", "balance")
     )
 
 
@@ -46,9 +85,11 @@ def _all_set(*names: str) -> Column:
     return reduce(and_, [F.col(name).isNotNull() for name in names])
 
 
-def stake_levels(positions: DataFrame) -> DataFrame:
+def stake_levels(positions: DataFrame, opening_total: Decimal | None = None) -> DataFrame:
     """Rank and prefix sum of every distinct stake of a period, largest first.
 
+    ``opening_total`` is the total before the first period, if earlier flows are left out.
+
     ``positions`` has days, validator, flow, cum. Validators with equal stake share
     the lowest of their places (10, 10, 5 rank 2, 2, 3) and the prefix sum of the
     whole tie. Validators absent from a period are not ranked in it, while
@@ -63,14 +104,21 @@ def stake_levels(positions: DataFrame) -> DataFrame:
 
     Output: days, cum, validators, rank, run, total.
     """
+    # This filter and the next two hold for every row. Saying so gives the readers of
+    # a table the same columns and filters, so that Spark shuffles it once for them.
+    sliced = positions.withColumn("slice", _slice("cum")).filter(_all_set("days", "slice"))
+    keys = ["days", "slice", "cum"]
+    salted = [SALT] if SALT in positions.columns else []
+    # Ties within a salt are merged before anything moves: rows are dealt by salt already.
+    merged = sliced.groupBy(*salted, *keys).agg(
+        F.count("*").alias("validators"), F.sum("flow").alias("flow")
+    )
     levels = (
-        positions.groupBy("days", "cum")
-        .agg(F.count("*").alias("validators"), F.sum("flow").alias("flow"))
-        .withColumn("slice", _slice("cum"))
+        # The one shuffle of the levels serves the merging of ties and both windows below.
+        merged.repartition("days", "slice")
+        .groupBy(*keys)
+        .agg(F.sum("validators").alias("validators"), F.sum("flow").alias("flow"))
         .withColumn("stake", F.col("cum") * F.col("validators"))
-        # This filter and the next two hold for every row. Saying so gives the readers of
-        # a table the same columns and filters, so that Spark shuffles it once for them.
-        .filter(_all_set("days", "slice"))
     )
     falling = W.partitionBy("days", "slice").orderBy(F.desc("cum"))
     inside = levels.select(
@@ -103,7 +151,10 @@ def stake_levels(positions: DataFrame) -> DataFrame:
         )
         .filter(_all_set(*SUMMED, *[f"{name}_to" for name in SUMMED]))
     )
-    totals = slices.filter("lowest").select("days", running_total("days", "flow_to").alias("total"))
+    total = running_total("days", "flow_to")
+    if opening_total is not None:
+        total = (total + F.lit(opening_total)).cast("decimal(38,0)")
+    totals = slices.filter("lowest").select("days", total.alias("total"))
     starts = slices.select(
         "days",
         "slice",

@@ -5,32 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that one task should have to handle.
-ROWS_PER_TASK = 5_000_000
+# Parts that the rows of every key are dealt to.
+PARTS = 8
 
 
 def join_split(
-    large: DataFrame,
-    unique: DataFrame,
-    key: str,
-    spread_by: list[str],
-    rows_per_task: int = ROWS_PER_TASK,
+    large: DataFrame, unique: DataFrame, key: str, spread_by: list[str], parts: int = PARTS
 ) -> DataFrame:
-    """Inner join that splits keys too frequent for one task.
+    """Inner join that deals the rows of each key to several parts, whatever its size.
 
-    ``unique`` has one row per key and, as ``rows``, how often the key is in
-    ``large``. Rows of a hot key go to one of its parts by a hash of ``spread_by``,
-    and its row in ``unique`` is copied to every part; other keys have one part.
-    Should a part still be too large, adaptive execution splits it: both sides are
-    shuffled for this join alone.
-
-    The list of hot keys is broadcast. Each stands for more than ``rows_per_task``
-    rows of ``large``, so a table of 10^12 rows has at most 200,000 of them.
+    Rows of ``large`` go to a part of their key by a hash of ``spread_by``; the row of the
+    key in ``unique`` is copied to every part. A key with a third of all rows so has at most
+    a third of a part's worth in one task, and no count of the keys is needed first. Should a
+    part still be too large, adaptive execution splits it: both sides are shuffled for this
+    join alone.
     """
-    sized = unique.withColumn("parts", F.ceil(F.col("rows") / rows_per_task).cast("int"))
-    hot = sized.filter(F.col("rows") > rows_per_task).select(key, "parts")
-    split = large.join(F.broadcast(hot), key, "left").withColumn(
-        "part", F.pmod(F.xxhash64(*spread_by), F.coalesce("parts", F.lit(1))).cast("int")
-    )
-    copied = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return split.drop("parts").join(copied.drop("parts", "rows"), [key, "part"]).drop("part")
+    part = F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int")
+    copies = unique.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return large.withColumn("part", part).join(copies, [key, "part"]).drop("part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 from uuid import uuid4
 
@@ -54,17 +55,16 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
 
     What several metrics need is written first and read back, so that its inputs are
     worked through once: the ranked stakes behind the concentration metrics (with the flows
-    of both, if the Nakamoto coefficient counts other ones), each voter, each proposal, the
-    debuts of validators, and the wait of each wallet until its first vote.
+    of both, if the Nakamoto coefficient counts other ones), and the votes without repeats,
+    from which all governance metrics follow, so that the votes themselves are read once.
     """
     session = tables.votes.sparkSession
     run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid4().hex[:8]}"
+    folder = f"{out}/{spec.label}/{run}"
     paths = {}
 
     def write(name: str, df: DataFrame) -> DataFrame:
-        paths[name] = f"{out}/{spec.label}/{run}/{name}"
-        df.write.parquet(paths[name])
-        return session.read.schema(df.schema).parquet(paths[name])
+        return _written(paths, folder, name, df)
 
     if spec.nakamoto_differs:
         moved = write("stake_flows", power.stake_flows_both(tables, spec))
@@ -80,12 +80,41 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
         )
     else:
         ranked = ranked_nakamoto = write("stake_levels", power.power_levels(tables, spec))
-    newcomers_stake = spec.newcomer == "validator"
+    votes = write("votes", governance.distinct_votes(tables.votes))
+    paths |= write_metrics(replace(tables, votes=votes), spec, folder, ranked, ranked_nakamoto)
+    finish(session, spec, out, run, paths)
+    return paths
+
+
+def _written(paths: dict[str, str], folder: str, name: str, df: DataFrame) -> DataFrame:
+    """Writes a table, notes its path, and reads it back."""
+    paths[name] = f"{folder}/{name}"
+    df.write.parquet(paths[name])
+    return df.sparkSession.read.schema(df.schema).parquet(paths[name])
+
+
+def write_metrics(
+    tables: ChainTables,
+    spec: ChainSpec,
+    folder: str,
+    ranked: DataFrame,
+    ranked_nakamoto: DataFrame,
+) -> dict[str, str]:
+    """Writes all metrics from ranked stakes and the other tables; returns their paths.
+
+    What several of them need is shared: each voter, each proposal, the debuts of validators,
+    and the wait of each wallet until its first vote.
+    """
+    paths: dict[str, str] = {}
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        return _written(paths, folder, name, df)
+
     shared = governance.Shared(
         voters=write("voters", governance.voters(tables)),
         proposals=write("proposals", governance.proposals(tables)),
         debuts=write("validator_debuts", governance.validator_debuts(tables, spec))
-        if newcomers_stake
+        if spec.newcomer == "validator"
         else None,
     )
     waits = write("time_to_governance", governance.time_to_governance(tables, spec, shared))
@@ -99,9 +128,15 @@ def write_gold(tables: ChainTables, spec: ChainSpec, out: str) -> dict[str, str]
     results |= {name: metric(tables, spec, shared) for name, metric in GOVERNANCE.items()}
     for name, df in results.items():
         write(name, shown(name, df))
+    return paths
+
+
+def finish(
+    session: SparkSession, spec: ChainSpec, out: str, run: str, paths: dict[str, str]
+) -> None:
+    """Notes that all tables of a run are there."""
     done = session.createDataFrame([(run, list(paths))], FINISHED)
     done.coalesce(1).write.mode("append").parquet(_runs(spec, out))
-    return paths
 
 
 def _runs(spec: ChainSpec, out: str) -> str:

@@ -10,12 +10,18 @@ from pyspark.sql import Window as W
 
 from stakelens.functions import columns as C
 from stakelens.operators import debut as db
+from stakelens.operators import exact as ex
+from stakelens.operators import presence as pr
 from stakelens.operators import ranking as rk
 from stakelens.operators import skew as sk
 from stakelens.sources.tables import ChainTables
 from stakelens.spec import ChainSpec
 
 
+# How often a vote occurs, where equal votes are one row.
+TIMES = "times"
+
+
 @dataclass(frozen=True)
 class Shared:
     """What several metrics need. To compute them all, write each once (``write_gold`` does)."""
@@ -26,14 +32,13 @@ class Shared:
 
 
 def voters(tables: ChainTables) -> DataFrame:
-    """Each voter's first and last vote, dated votes and proposals; a NULL voter has a row.
+    """Each voter's first and last vote, and its proposals; a NULL voter has a row.
 
-    Output: voter, debut, last_seen, rows, n_proposals.
+    Output: voter, debut, last_seen, n_proposals.
     """
     return tables.votes.groupBy("voter").agg(
         F.min("block_timestamp").alias("debut"),
         F.max("block_timestamp").alias("last_seen"),
-        F.count("block_timestamp").alias("rows"),
         F.countDistinct("proposal_id").alias("n_proposals"),
     )
 
@@ -50,6 +55,29 @@ def proposals(tables: ChainTables) -> DataFrame:
     )
 
 
+def distinct_votes(votes: DataFrame) -> DataFrame:
+    """Votes without repeats: what every metric here counts, each set of them mergeable.
+
+    The earliest time of each is kept, by day; options are told apart only as far as they
+    have labels of their own. All metrics give for these rows what they give for all votes.
+    Rows of two periods, or of a period read twice in parts, are merged by calling this on
+    their union.
+
+    Output: date, proposal_id, vote_option, voter, tx_id, vote_weight, block_timestamp, times.
+    """
+    option = F.when(F.col("vote_option").between(1, 3), F.col("vote_option"))
+    weight = F.col("vote_weight")
+    times = F.sum(TIMES) if TIMES in votes.columns else F.count(F.lit(1))
+    return votes.groupBy(
+        F.to_date("block_timestamp").alias("date"),
+        "proposal_id",
+        option.alias("vote_option"),
+        "voter",
+        "tx_id",
+        F.when(weight != 0, weight).alias("vote_weight"),
+    ).agg(F.min("block_timestamp").alias("block_timestamp"), times.alias(TIMES))
+
+
 def _or(shared: DataFrame | None, make, *args) -> DataFrame:
     return make(*args) if shared is None else shared
 
@@ -99,7 +127,7 @@ def voters_by_type(
     tables: ChainTables,
     spec: ChainSpec,
     shared: Shared = Shared(),
-    rows_per_task: int = sk.ROWS_PER_TASK,
+    parts: int = sk.PARTS,
 ) -> DataFrame:
     """Distinct voters and voting transactions per day, newcomers apart.
 
@@ -120,18 +148,14 @@ def voters_by_type(
     per_voter = _or(shared.voters, _first_votes, tables.votes).filter(
         F.col("voter").isNotNull() & F.col("debut").isNotNull()
     )
-    debuts = per_voter.select("voter", F.to_date("debut").alias("debut"), "rows")
+    debuts = per_voter.select("voter", F.to_date("debut").alias("debut"))
     return _by_type(
-        sk.join_split(votes, debuts, "voter", ["tx_id", "proposal_id"], rows_per_task), spec
+        sk.join_split(votes, debuts, "voter", ["tx_id", "proposal_id"], parts), spec
     )
 
 
 def _first_votes(votes: DataFrame) -> DataFrame:
-    return (
-        _dated(votes)
-        .groupBy("voter")
-        .agg(F.min("block_timestamp").alias("debut"), F.count("*").alias("rows"))
-    )
+    return db.first_seen(_dated(votes), "voter", "voter")
 
 
 def _by_type(votes: DataFrame, spec: ChainSpec) -> DataFrame:
@@ -178,16 +202,25 @@ def vote_options(
 ) -> DataFrame:
     """Voters, votes and weight per proposal and option.
 
-    Output: proposal_id, vote, voters, votes, weight.
+    A missing weight counts as 0, one that is not a number makes the sum none; the sum does
+    not depend on the order of the votes. Output: proposal_id, vote, voters, votes, weight.
     """
-    return tables.votes.groupBy("proposal_id", C.vote_label("vote_option").alias("vote")).agg(
+    votes = tables.votes.withColumn("vote", C.vote_label("vote_option"))
+    keys = ["proposal_id", "vote"]
+    counts = votes.groupBy(*keys).agg(
         F.countDistinct("voter").alias("voters"),
         F.countDistinct("tx_id").alias("votes"),
-        # Exact, so that the sum does not depend on the order of the rows.
-        F.round(
-            F.sum(C.zero_if_null("vote_weight").cast("decimal(28,12)")).cast("double"), 6
-        ).alias("weight"),
     )
+    times = F.col(TIMES) if TIMES in votes.columns else None
+    weights = ex.exact_sum(votes, keys, F.col("vote_weight"), "weight", times)
+    same = counts["proposal_id"].eqNullSafe(weights["proposal_id"]) & (
+        counts["vote"] == weights["vote"]
+    )
+    # A row on either side for each proposal and option.
+    return counts.join(weights, same).select(
+        counts["proposal_id"], counts["vote"], "voters", "votes",
+        F.round("weight", 6).alias("weight"),
+    )
 
 
 def time_to_governance(
@@ -195,15 +228,17 @@ def time_to_governance(
 ) -> DataFrame:
     """Days from a wallet's first transaction to its first vote; may be negative.
 
-    Both sides are one row per wallet before they meet. The two metrics below need
-    only this, so ``write_gold`` reads the transactions once for both.
-    Output: wallet, governance_debut, days_to_vote.
+    Wallets that never voted are dropped where the transactions are read, all but a few, so
+    that they are neither added up nor shuffled. Both sides are one row per wallet before
+    they meet. The two metrics below need only this, so ``write_gold`` reads the transactions
+    once for both. Output: wallet, governance_debut, days_to_vote.
     """
-    wallets = db.first_seen(tables.transactions, spec.wallet_column, "wallet")
     seen = _or(shared.voters, db.first_seen, tables.votes, "voter", "voter")
     first_votes = seen.select(
         F.col("voter").alias("wallet"), F.col("debut").alias("governance_debut")
-    )
+    ).filter(F.col("wallet").isNotNull())
+    voted = pr.probably_in(tables.transactions, spec.wallet_column, first_votes, "wallet")
+    wallets = db.first_seen(voted, spec.wallet_column, "wallet")
     return wallets.join(first_votes, "wallet").select(
         "wallet",
         "governance_debut",

@@ -38,11 +38,11 @@ def stake_flows_both(tables: ChainTables, spec: ChainSpec) -> DataFrame:
 
 def stake_positions(
     tables: ChainTables, spec: ChainSpec, for_nakamoto: bool = False,
-    flows: DataFrame | None = None,
+    flows: DataFrame | None = None, opening: DataFrame | None = None,
 ) -> DataFrame:
     """Flows with each validator's running stake: days, validator, flow, cum."""
     flows = stake_flows(tables, spec, for_nakamoto) if flows is None else flows
-    positions = rk.cumulative_stake(flows)
+    positions = rk.cumulative_stake(flows, opening)
     return positions.filter(F.col("cum") > 0) if spec.positive_only else positions
 
 

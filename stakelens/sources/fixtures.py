@@ -116,14 +116,16 @@ def msg_attributes(spark: SparkSession, sf_dir: str, spec: ChainSpec = COSMOS) -
     ).select("block_timestamp", "tx_id", "msg_type", "attribute.*")
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def votes(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
     """Every line is a vote. Voters of orders that are not urgent have names of their own, so
-    that some voters have no transactions and some wallets no votes."""
+    that some voters have no transactions and some wallets no votes. If ``hot``, a third of
+    the votes is one voter's."""
     wallet = F.col("o_custkey").cast("string")
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
-    orders = _read(spark, sf_dir, "orders").select(
-        "o_orderkey", F.when(urgent, wallet).otherwise(F.concat(F.lit("m"), wallet)).alias("voter")
-    )
+    voter = F.when(urgent, wallet).otherwise(F.concat(F.lit("m"), wallet))
+    if hot:
+        voter = F.when(F.col("o_orderkey") % 3 == 0, "hot").otherwise(voter)
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", voter.alias("voter"))
     return (
         _read(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))

@@ -20,6 +20,9 @@ TABLE_NAMES = {
     "labels": "dim_labels",
 }
 
+# Column of the month by which stored tables may be partitioned.
+MONTH = "block_month"
+
 UTC_NAMES = ("UTC", "Etc/UTC", "Z", "GMT", "Etc/GMT", "+00:00", "Etc/UCT", "UCT", "Zulu")
 
 

@@ -43,7 +43,7 @@ def test_gold_tables_hold_the_metrics(spark, tmp_path, monkeypatch, spec):
         patched.setattr(DataFrameWriter, "parquet", counted)
         paths = gold.write_gold(t, spec, str(tmp_path / "out"))
     # The validators' debuts are a second read of the staking table, which they alone need.
-    most = {"votes": 5, "staking": 2 if spec is OSMOSIS else 1}
+    most = {"staking": 2 if spec is OSMOSIS else 1}
     assert all(0 < reads[name] <= most.get(name, 1) for name in required_tables(spec)), reads
     want = {
         "voting_power": power.voting_power,

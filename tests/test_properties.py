@@ -193,5 +193,5 @@ def test_splitting_hot_voters_changes_nothing(spark):
     hot = [v[:2] + ("whale",) + v[3:] for v in random_votes(11)]
     t = tables(spark, votes=random_votes(10) + hot)
     whole = rows(gov.voters_by_type(t, COSMOS))
-    assert rows(gov.voters_by_type(t, COSMOS, rows_per_task=20)) == whole
+    assert rows(gov.voters_by_type(t, COSMOS, parts=20)) == whole
     assert whole
