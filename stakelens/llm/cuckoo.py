@@ -1,8 +1,10 @@
 """A cuckoo filter of 64-bit hashes as numpy arrays: bulk insertion, lookup and deletion.
 
-Buckets hold four 16-bit fingerprints; a fingerprint may lie in two buckets. A layer that
-fills up is followed by a larger one, so no insertion fails. Equal hashes may be inserted
-again and are then held as often; a deletion removes one of them.
+Buckets hold four 16-bit fingerprints; a fingerprint may lie in two buckets. A layer that is
+nine tenths full is followed by a larger one, so no insertion fails or searches long. Hashes
+are told which layer took them, and are deleted from that layer: another's equal fingerprint
+in a layer of another size stays. Equal hashes may be inserted again and are then held as
+often; a deletion removes one of them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from stakelens.llm.textops import U, mix
 
 SLOTS = 4
 ROUNDS = 200
+LOAD = 0.9
 LEAST_BUCKETS = 16
 
 
@@ -42,28 +45,40 @@ class Filter:
             found |= (table[second] == print_[:, None]).any(1)
         return found
 
-    def insert(self, hashes: np.ndarray) -> None:
-        rest = hashes
+    def insert(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the layer that took each hash."""
+        layer = np.zeros(len(hashes), np.int32)
+        rest = np.arange(len(hashes))
         if self.layers:
-            rest = _fill(self.layers[-1], rest)
+            rest = self._into_last(hashes, layer, rest)
         while len(rest):
             wanted = max(len(rest), 2 * len(self.layers[-1]) if self.layers else LEAST_BUCKETS)
             buckets = 1 << (max(LEAST_BUCKETS, wanted // 3) - 1).bit_length()
             self.layers.append(np.zeros((buckets, SLOTS), np.uint16))
-            rest = _fill(self.layers[-1], rest)
-
-    def delete(self, hashes: np.ndarray) -> None:
-        """Removes one fingerprint for each hash; only hashes that were inserted may be given."""
-        for h in hashes:  # equal fingerprints in one call must not remove the same slot twice
-            one = np.array([h], U)
-            for table in self.layers:
-                print_, first, second = _places(one, len(table))
-                bucket = next(
-                    (b for b in (first[0], second[0]) if (table[b] == print_[0]).any()), None
-                )
-                if bucket is not None:
-                    table[bucket, int(np.argmax(table[bucket] == print_[0]))] = 0
+            rest = self._into_last(hashes, layer, rest)
+        return layer
+
+    def _into_last(self, hashes: np.ndarray, layer: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Fills the last layer with some of the hashes; which of `rest` it did not take."""
+        table = self.layers[-1]
+        room = max(0, int(LOAD * table.size) - np.count_nonzero(table))
+        placed = _fill(table, hashes[rest[:room]])
+        layer[rest[:room][placed]] = len(self.layers) - 1
+        return np.append(rest[:room][~placed], rest[room:])
+
+    def delete(self, hashes: np.ndarray, layers: np.ndarray) -> None:
+        """Removes one fingerprint for each hash from the layer that took it."""
+        for h, layer in zip(hashes, layers, strict=True):
+            # One by one: equal fingerprints in one call must not remove the same slot twice.
+            table = self.layers[layer]
+            print_, first, second = _places(np.array([h], U), len(table))
+            for bucket in (first[0], second[0]):
+                slots = np.flatnonzero(table[bucket] == print_[0])
+                if len(slots):
+                    table[bucket, slots[0]] = 0
                     break
+            else:
+                raise ValueError("only hashes that were inserted may be deleted")
 
 
 def _places(hashes: np.ndarray, buckets: int):
@@ -76,7 +91,7 @@ def _places(hashes: np.ndarray, buckets: int):
 
 
 def _fill(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Inserts what finds a place; the hashes that do not, when the table was nearly full.
+    """Inserts what finds a place; whether each hash did.
 
     Nothing is moved until a place is free along a whole path: a fingerprint that is pushed
     out goes to its other bucket, one bucket a round, and paths that do not end are undone.
@@ -87,8 +102,9 @@ def _fill(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         if not len(left):
             break
         left = left[~_place(table, bucket_of[left], prints[left])]
-    failed = [k for k in left if not _push(table, int(first[k]), int(prints[k]))]
-    return hashes[failed]
+    placed = np.ones(len(hashes), bool)
+    placed[[k for k in left if not _push(table, int(first[k]), int(prints[k]))]] = False
+    return placed
 
 
 def _place(table: np.ndarray, buckets: np.ndarray, prints: np.ndarray) -> np.ndarray:

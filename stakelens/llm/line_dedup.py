@@ -1,8 +1,8 @@
 """Line deduplication that can be taken back: exact reference counts behind cuckoo filters.
 
 The state is three stored tables. `postings` has a row for each document and distinct line
-key in it; `counts` has, for each key, in how many documents it stands and the smallest id
-among them; `filters` has a cuckoo filter of each shard's keys. New documents ask the filter
+key in it; `counts` has, for each key, in how many documents it stands, the smallest id
+among them and the layer of the filter that holds it; `filters` has a cuckoo filter of each shard's keys. New documents ask the filter
 of the shard first: keys that it has certainly not seen are appended without a lookup in
 `counts`, the others are looked up. Deleting documents lowers the counts, takes keys
 that no document holds any more out of their filter, and gives lines back.
@@ -36,11 +36,14 @@ KEYS_PER_SHARD = 200_000
 SPACES = " \t\n\v\f\r"
 
 
+_COUNTS = "key binary, refs long, owner long, layer int"
+
+
 class State(NamedTuple):
     """The stored tables; `shards` is fixed when the state is built."""
 
     postings: DataFrame  # doc_id, key
-    counts: DataFrame  # key, refs, owner
+    counts: DataFrame  # key, refs, owner, layer
     filters: DataFrame  # shard, filter
     shards: int
     min_chars: int
@@ -95,7 +98,7 @@ def empty(like: DataFrame, shards: int, min_chars: int = MIN_CHARS) -> State:
     spark = like.sparkSession
     return State(
         spark.createDataFrame([], "doc_id long, key binary"),
-        spark.createDataFrame([], "key binary, refs long, owner long"),
+        spark.createDataFrame([], _COUNTS),
         spark.createDataFrame([], "shard int, filter binary"),
         shards,
         min_chars,
@@ -127,12 +130,14 @@ def _added(state: State, new: DataFrame) -> State:
         "key",
         (F.col("refs") + F.col("new.refs")).alias("refs"),
         F.least("owner", "new.owner").alias("owner"),
+        "layer",
     )
     untouched = state.counts.join(again.select("key"), "key", "left_anti")
-    counts = untouched.unionByName(again).unionByName(first.drop("shard"))
+    filled = stored(_inserted(state.filters, first), "filled")
+    fresh = filled.filter("key IS NOT NULL").select("key", "refs", "owner", "layer")
     return state._replace(
-        counts=stored(counts, "counts"),
-        filters=stored(_filters(state.filters, first, "insert"), "filters"),
+        counts=stored(untouched.unionByName(again).unionByName(fresh), "counts"),
+        filters=filled.filter("filter IS NOT NULL").select("shard", "filter"),
     )
 
 
@@ -143,12 +148,15 @@ def delete(state: State, doc_ids: DataFrame) -> State:
     lost = state.postings.join(gone, "doc_id", "left_semi").select("key").distinct()
     lost = stored(lost, "lost")
     recounted = _counted(left.join(lost, "key", "left_semi"))
-    counts = state.counts.join(lost, "key", "left_anti").unionByName(recounted)
-    empty_keys = _sharded(lost.join(recounted, "key", "left_anti"), state.shards)
+    layers = state.counts.join(lost, "key", "left_semi").select("key", "layer")
+    touched = stored(layers.join(recounted, "key", "left"), "touched")
+    held = touched.filter("refs IS NOT NULL").select("key", "refs", "owner", "layer")
+    counts = state.counts.join(lost, "key", "left_anti").unionByName(held)
+    empty_keys = _sharded(touched.filter("refs IS NULL"), state.shards)
     return state._replace(
         postings=left,
         counts=stored(counts, "counts"),
-        filters=stored(_filters(state.filters, empty_keys, "delete"), "filters"),
+        filters=stored(_deleted(state.filters, empty_keys), "filters"),
     )
 
 
@@ -173,19 +181,43 @@ def _asked(keys: DataFrame, filters: DataFrame) -> DataFrame:
     )
 
 
-def _filters(filters: DataFrame, keys: DataFrame, action: str) -> DataFrame:
-    """The filters after insertion or deletion of the keys of their shards."""
+def _inserted(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """A row with the filter of each shard, and one for each new key with its layer."""
+
+    def insert(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        held = Filter.load(right["filter"][0].as_py() if len(right) else None)
+        layers = held.insert(_hashes(left["key"]))
+        n = len(left)
+        return pa.table(
+            {"shard": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
+             "filter": pa.array([held.dump()] + [None] * n, pa.binary()),
+             "key": pa.chunked_array([pa.nulls(1, pa.binary()), *left["key"].chunks]),
+             "refs": pa.chunked_array([pa.nulls(1, pa.int64()), *left["refs"].chunks]),
+             "owner": pa.chunked_array([pa.nulls(1, pa.int64()), *left["owner"].chunks]),
+             "layer": pa.array([None, *layers.tolist()], pa.int32())}
+        )
+
+    changed = keys.select("key", "refs", "owner", "shard").groupBy("shard")
+    return changed.cogroup(filters.groupBy("shard")).applyInArrow(
+        insert, f"shard int, filter binary, {_COUNTS}"
+    )
+
+
+def _deleted(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """The filters without these keys."""
 
-    def change(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def delete(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         held = Filter.load(right["filter"][0].as_py() if len(right) else None)
-        getattr(held, action)(_hashes(left["key"]))
+        held.delete(_hashes(left["key"]), left["layer"].to_numpy())
         return pa.table(
             {"shard": pa.array([key[0].as_py()], pa.int32()),
              "filter": pa.array([held.dump()], pa.binary())}
         )
 
-    changed = keys.select("key", "shard").groupBy("shard").cogroup(filters.groupBy("shard"))
-    return changed.applyInArrow(change, "shard int, filter binary")
+    changed = keys.select("key", "layer", "shard").groupBy("shard")
+    return changed.cogroup(filters.groupBy("shard")).applyInArrow(
+        delete, "shard int, filter binary"
+    )
 
 
 def dropped(state: State, docs: DataFrame) -> DataFrame:
