@@ -452,7 +452,8 @@ def placed(held: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
         counts[row["length"]] = row["rows"]  # a row for each length, up to the capacity
     places = spark.sparkContext.broadcast(plan(counts, capacity, groups))
     earlier = F.sum("rows").over(W.partitionBy("length").orderBy("part")) - F.col("rows")
-    starts = by_part.select("part", "length", earlier.alias("before"))
+    # Rows for each task and length: not broadcast, though their files are small.
+    starts = by_part.select("part", "length", earlier.alias("before")).hint("merge")
     narrow = held.select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth"
     )
