@@ -45,7 +45,10 @@ SMALL = 16
 QUERIES_PER_TASK = 8192
 PAIRS_PER_TASK = 4096
 LEAF = 32
+RUN_TEXTS = 1 << 16  # a text's number in a run has 16 bits
+STARS = 2  # rounds of stars after the first
 _MOST = (1 << 15) - 1
+_SATURATED = GROUPS * _MOST  # bound of two sets whose counts do not fit: it says nothing
 
 
 def similar(shared, left, right):
@@ -53,6 +56,11 @@ def similar(shared, left, right):
     return 9 * shared >= 4 * (left + right)
 
 
+def may_be_similar(bound, left, right):
+    """Whether the similarity may be at least 0.8, from a bound of the overlap and sizes."""
+    return similar(bound, left, right) | (bound >= _SATURATED)
+
+
 # -- sets, points and parts -----------------------------------------------------------------
 
 
@@ -93,7 +101,7 @@ class _Sets:
         group = (self.hash >> T.U(40)) % T.U(GROUPS)
         cells = self.owner * GROUPS + group.astype(np.int64)
         counts = np.bincount(cells, minlength=self.n * GROUPS).reshape(self.n, GROUPS)
-        counts[(counts > _MOST).any(1)] = _MOST  # still a bound from above
+        counts[(counts > _MOST).any(1)] = _MOST  # of two such sets, the bound is passed over
         return counts.astype(np.int16)
 
     def of(self, k: int) -> np.ndarray:
@@ -179,7 +187,7 @@ def _dealt(docs: DataFrame, bins: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in T.runs(batch.column("text")):
+            for _, data, offsets in T.runs(batch.column("text"), most=RUN_TEXTS):
                 sets = _Sets(data, offsets)
                 names, _ = sets.digests()
                 chosen = np.zeros(sets.n, bool)
@@ -309,7 +317,7 @@ class RTree:
             if len(top) > 1 or top is self.points:
                 found = found[found < len(top)]
             bound = np.minimum(top[found], point).sum(1)
-            found = found[similar(bound, size, least[found])]
+            found = found[may_be_similar(bound, size, least[found])]
             if top is not self.points:
                 found = (found[:, None] * LEAF + np.arange(LEAF)).ravel()
         return self.order[found]
@@ -327,7 +335,7 @@ def _search(key: tuple, table: pa.Table) -> pa.Table:
         near = tree.near(coarse[k], sizes[k])
         near = near[(labels[near] != labels[k]) & (ids[near] > ids[k])]
         bound = np.minimum(points[near], points[k]).sum(1, dtype=np.int64)
-        near = near[similar(bound, sizes[k], sizes[near])]
+        near = near[may_be_similar(bound, sizes[k], sizes[near])]
         left.append(np.full(len(near), ids[k]))
         right.append(ids[near])
     none = [np.zeros(0, np.int64)]
@@ -381,7 +389,7 @@ def _near(pairs: DataFrame) -> DataFrame:
         F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int")
     )
     near = pairs.filter(similar(F.least("na", "nb"), F.col("na"), F.col("nb")))
-    return near.filter(similar(least, F.col("na"), F.col("nb")))
+    return near.filter(may_be_similar(least, F.col("na"), F.col("nb")))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -412,13 +420,16 @@ def _often_enough(pairs: DataFrame, often: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of the members of large crowds with the first of them, if they are frequent.
+    """Pairs of the members of large crowds with the most central of them, if they are frequent.
 
-    Which of these pairs are tried first does not change the result: what they leave apart
-    is searched.
+    Central is what lies in most large crowds: the text that a crowd's others were copied from
+    shares parts with all of them, while a copy's changed parts are its own. Only members of
+    other components than the central one are paired. Which of these pairs are tried first
+    does not change the result: what they leave apart is searched.
     """
-    first = members.groupBy("crowd").agg(F.min(F.struct("id", "n", "point")).alias("first"))
-    pairs = members.join(first, "crowd").filter("id != first.id")
+    central = F.max(F.struct("large", (-F.col("id")).alias("minus"), "id", "n", "point", "label"))
+    first = members.groupBy("crowd").agg(central.alias("first"))
+    pairs = members.join(first, "crowd").filter("label != first.label")
     pairs = pairs.groupBy(F.col("first.id").alias("a"), F.col("id").alias("b")).agg(
         F.count(F.lit(1)).alias("times"),
         F.min("need").alias("need"),
@@ -430,10 +441,32 @@ def _stars(members: DataFrame) -> DataFrame:
     return _near(pairs.filter("times > 1 OR need <= 2")).select("a", "b")
 
 
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of crowds that lie in several components, with the label of theirs."""
+    labels = components(links).withColumnRenamed("node", "id")
+    found = members.drop("label").join(labels, "id", "left")
+    found = stored(found.withColumn("label", F.coalesce("label", "id")), "labelled")
+    mixed = found.groupBy("crowd").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return found.join(mixed.filter("low != high").select("crowd"), "crowd", "left_semi")
+
+
+def _others(members: DataFrame) -> DataFrame:
+    """Members that are not in the component of their crowd's most central one."""
+    central = F.max_by("label", F.struct("large", (-F.col("id")).alias("minus")))
+    first = members.groupBy("crowd").agg(central.alias("of"))
+    return members.join(first, "crowd").filter("label != of").drop("of")
+
+
 def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
-    """doc_id, td (MD5 of the text), n_shingles, component_id for each row.
+    """doc_id, td (MD5 of the text), n_shingles, component_id for each row."""
+    return classes(docs, small).drop("class")
+
+
+def classes(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """The same with `class`, which names a component also where ids are null or equal.
 
-    Also stored on the way: the distinct sets and the verified pairs that link them.
+    A row without words has none. Also stored on the way: the distinct sets and the verified
+    pairs that link them.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -450,11 +483,12 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     large = met.filter("crowd != 0").select("crowd", "b", F.col("need_b").alias("need"))
     often = large.groupBy("b").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
     often = stored(often, "often")
-    stay = often.filter("large >= need").select("b")
+    stay = often.filter("large >= need").select("b", "large")
     members = large.join(stay, "b").join(
         sets.select(F.col("d1").alias("b"), "id", "n", "point"), "b"
     )
-    members = stored(members.select("crowd", "id", "n", "point", "need"), "members")
+    columns = ["crowd", "id", "n", "point", "need", "large", F.col("id").alias("label")]
+    members = stored(members.select(*columns), "members")
     direct = stored(
         _bounded(_often_enough(met.filter("crowd = 0"), often), sets).unionByName(
             _stars(members)
@@ -470,18 +504,14 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     texts = stored(texts, "candidates")
 
     links = _verified(direct, texts)
-    labels = components(links)
-    members = (
-        members.drop("need")
-        .join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("label", F.coalesce("label", "id"))
-    )
-    members = stored(members.select("crowd", "id", "label", "n", "point"), "labelled")
-    mixed = members.groupBy("crowd").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"),
-        F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("shares"),
-    )
-    mixed = stored(mixed.filter("low != high").select("crowd", "shares"), "mixed")
+    members = _labelled(members, links)
+    rest = members
+    for _ in range(STARS):  # what the first star of a crowd has left, around its own centre
+        rest = _others(rest)
+        links = links.unionByName(_verified(_stars(rest), texts))
+    members = _labelled(members, links).select("crowd", "id", "label", "n", "point")
+    shares = F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("shares")
+    mixed = stored(members.groupBy("crowd").agg(shares), "mixed")
     shared = members.join(mixed, "crowd").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     )
@@ -495,21 +525,32 @@ def joined(docs: DataFrame, small: int = SMALL) -> DataFrame:
     )
     named = stored(named.withColumn("label", F.coalesce("label", "id")), "named")
     least = named.groupBy("label").agg(F.min("least_doc").alias("component"))
-    named = stored(named.join(least, "label").select("d1", "d2", "n", "component"), "components")
+    named = named.join(least, "label").select("d1", "d2", "n", "component", "label")
+    named = stored(named, "components")
     own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.join(named, ["d1", "d2", "n"], "left").select(
-        "doc_id", "td", F.col("n").alias("n_shingles"), own.alias("component_id")
-    )
+        "doc_id", "td", F.col("n").alias("n_shingles"), own.alias("component_id"),
+        F.col("label").alias("class"),
+    )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that name their component, with all columns; one for each of them."""
+    """One row of each component, with all columns: that with the smallest id, null being last.
+
+    Of rows with that id the one with the smallest MD5 of its text stays, and of equal rows
+    one. Rows without words are linked with nothing, so all of them stay.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("id"),
-        F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("td"),
+        F.unhex(F.md5(text.cast("binary"))).alias("td"),
+        text.rlike(r"[^\x20\x09-\x0D]").alias("worded"),
     )
-    kept = joined(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("td").alias("kept_td"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "td")
+    kept = classes(docs).filter(F.col("class").isNotNull()).groupBy("class")
+    kept = kept.agg(F.min(order).alias("first")).select("first.doc_id", "first.td")
+    kept = kept.withColumnsRenamed({"doc_id": "kept_id", "td": "kept_td"})
     same = keyed["id"].eqNullSafe(kept["kept_id"]) & (keyed["td"] == kept["kept_td"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "td"]).select("row.*")
+    first = keyed.filter("worded").join(kept, same, "left_semi").dropDuplicates(["id", "td"])
+    return first.unionByName(keyed.filter("NOT worded")).select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,11 +15,20 @@ _shipped: set[str] = set()
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under `spark.checkpoint.dir`; a temporary folder only where that is unset."""
+    """A new path under `spark.checkpoint.dir`.
+
+    Where that is unset, a session on one machine has a temporary folder; executors on others
+    would not see it, so a cluster must name a shared folder.
+    """
     base = spark.conf.get(SETTING, None)
     if not base:
         checkpoints = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = checkpoints.get() if checkpoints.isDefined() else tempfile.gettempdir()
+        if checkpoints.isDefined():
+            base = checkpoints.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            base = tempfile.gettempdir()
+        else:
+            raise ValueError(f"set {SETTING} to a folder that the driver and executors share")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
 
 

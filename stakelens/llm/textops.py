@@ -71,8 +71,13 @@ class Words(NamedTuple):
         return np.diff(self.first)
 
 
-def runs(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of whole texts of about `limit` bytes; null is empty."""
+def runs(
+    column: pa.Array, limit: int = BATCH_BYTES, most: int = 1 << 62
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of whole texts of about `limit` bytes; null is empty.
+
+    A run has at most `most` texts.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -84,7 +89,7 @@ def runs(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, np.n
     at = 0
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-        to = min(max(to, at + 1), len(column))
+        to = min(max(to, at + 1), len(column), at + most)
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

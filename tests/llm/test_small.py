@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,57 @@ def test_ngram_join(spark, small):
     assert got(out, *out.columns) == sorted(want, key=repr)
 
 
+def test_one_of_each_component_with_null_and_equal_ids(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    near = [" ".join([*w[:58], "x", "y"]) for w in words]
+    rows = [(None, " ".join(words[0])), (None, near[0])]
+    rows += [(7, " ".join(words[1])), (7, near[1]), (7, near[1])]
+    rows += [(None, " ".join(words[2])), (3, near[2]), (9, " ".join(words[3]))]
+    rows += [(None, None), (4, ""), (4, " ")]
+    kept = ngram_join.one_of_each(make(spark, rows))
+    assert kept.columns == make(spark, rows).columns
+    found = got(kept, "doc_id", "text")
+    worded = [r for r in found if (r[1] or "").strip()]
+    assert len(worded) == 4
+    assert {r[0] for r in worded} == {None, 7, 3, 9}
+    assert sorted((r for r in found if r not in worded), key=repr) == sorted(rows[-3:], key=repr)
+
+
+def test_a_crowd_of_near_copies_of_one_text(spark):
+    """Copies of one text, each with words of its own: many pairs, most of them no links."""
+    pick = random.Random(11)
+    base = [f"w{pick.randrange(5000)}" for _ in range(200)]
+    rows = [(5000, " ".join(base))]
+    for i in range(120):
+        words = list(base)
+        for at in pick.sample(range(200), 4):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    grams = [
+        {tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows
+    ]
+    label = list(range(len(rows)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if 100 * len(a & grams[j]) >= 80 * len(a | grams[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for x, (doc_id, _) in zip(label, rows, strict=True):
+        least[x] = min(doc_id, least.get(x, doc_id))
+    want = sorted((d, least[x]) for x, (d, _) in zip(label, rows, strict=True))
+    out = ngram_join.joined(make(spark, rows))
+    assert sorted(got(out, "doc_id", "component_id")) == want
+
+
+def test_saturated_counts_pass_the_bound():
+    points = np.full((2, ngram_join.GROUPS), ngram_join._MOST, np.int16)
+    size = 30_000_000
+    assert ngram_join.may_be_similar(int(np.minimum(*points.astype(int)).sum()), size, size)
+    tree = ngram_join.RTree(points, np.array([size, size]))
+    assert sorted(tree.near(ngram_join.folded(points)[0], size)) == [0, 1]
+
+
 def test_rtree_loses_nothing():
     pick = np.random.default_rng(1)
     points = pick.poisson(2, (700, ngram_join.GROUPS)).astype(np.int16)
@@ -289,12 +341,38 @@ def test_rtree_loses_nothing():
 def test_cuckoo_filter():
     hashes = textops.mix(np.arange(1, 40001, dtype=np.uint64))
     held = cuckoo.Filter()
-    held.insert(hashes[:15000])
-    held.insert(hashes[15000:20000])
+    layers = np.append(held.insert(hashes[:15000]), held.insert(hashes[15000:20000]))
     held = cuckoo.Filter.load(held.dump())
     assert held.contains(hashes[:20000]).all() and held.contains(hashes[20000:]).mean() < 0.01
-    held.delete(hashes[:100])
+    held.delete(hashes[:100], layers[:100])
     assert held.contains(hashes[100:20000]).all() and held.contains(hashes[:100]).mean() < 0.1
+    with pytest.raises(ValueError):
+        held.delete(hashes[30000:30100], np.zeros(100, int))
+
+
+def test_cuckoo_layers_forget_nothing_that_they_hold():
+    """Several layers of different sizes, most keys deleted: the others are all still found."""
+    n = 400_000
+    hashes = textops.mix(np.arange(1, n + 1, dtype=np.uint64))
+    held = cuckoo.Filter()
+    cuts = np.split(hashes, [1000, 4000, 30_000, 120_000])
+    layers = np.concatenate([held.insert(x) for x in cuts])
+    assert len({len(t) for t in held.layers}) > 2
+    assert all(np.count_nonzero(t) <= 0.9 * t.size for t in held.layers)
+    gone = np.arange(n) % 4 != 0
+    held.delete(hashes[gone], layers[gone])
+    assert held.contains(hashes[~gone]).all()
+    assert sum(map(np.count_nonzero, held.layers)) == n - gone.sum()
+
+
+def test_cuckoo_insertion_into_a_full_layer_is_quick():
+    hashes = textops.mix(np.arange(1, 20001, dtype=np.uint64))
+    held = cuckoo.Filter()
+    held.insert(hashes[:12000])
+    began = time.process_time()
+    held.insert(hashes[12000:])
+    assert time.process_time() - began < 1
+    assert held.contains(hashes).all()
 
 
 def lines_left(rows):
