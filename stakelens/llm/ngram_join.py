@@ -46,7 +46,7 @@ QUERIES_PER_TASK = 8192
 PAIRS_PER_TASK = 4096
 LEAF = 32
 RUN_TEXTS = 1 << 16  # a text's number in a run has 16 bits
-STARS = 2  # rounds of stars after the first
+STARS = 1  # rounds of stars after the first
 _MOST = (1 << 15) - 1
 _SATURATED = GROUPS * _MOST  # bound of two sets whose counts do not fit: it says nothing
 
