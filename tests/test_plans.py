@@ -211,3 +211,27 @@ def test_the_votes_are_read_once_for_validators(spark, tmp_path):
     t.votes.write.parquet(path)
     text = plan(gov.voters_by_type(replace(t, votes=spark.read.parquet(path)), OSMOSIS))
     assert text.count("/v]") == 1
+
+
+def _stages(df):
+    """The plan's operators, from the last back to the scans."""
+    return [line.lstrip(" :+-") for line in plan(df).splitlines()]
+
+
+def test_legs_and_running_stakes_are_dealt_to_all_tasks(spark):
+    t = tables(spark, staking=random_staking(2))
+    found = _stages(power.nakamoto(t, OSMOSIS))
+    dealt = [x for x in found if x.startswith("Exchange") and "REPARTITION_BY_NUM" in x]
+    assert any("hashpartitioning(salt" in x for x in dealt)
+    assert any("hashpartitioning(block_timestamp" in x for x in dealt)
+    # Nothing is grouped at the scan.
+    last = max(i for i, x in enumerate(found) if x.startswith("Exchange"))
+    assert not any("Aggregate" in x for x in found[last:])
+
+
+def test_legs_of_two_readings_are_dealt_before_they_are_grouped(spark):
+    t = tables(spark, staking=random_staking(2))
+    found = _stages(flows.typed_flows_both(t.staking, "day", "uaxl", "uosmo"))
+    last = max(i for i, x in enumerate(found) if x.startswith("Exchange"))
+    assert "REPARTITION_BY_NUM" in found[last]
+    assert not any("Aggregate" in x for x in found[last:])
