@@ -235,3 +235,10 @@ def test_legs_of_two_readings_are_dealt_before_they_are_grouped(spark):
     last = max(i for i, x in enumerate(found) if x.startswith("Exchange"))
     assert "REPARTITION_BY_NUM" in found[last]
     assert not any("Aggregate" in x for x in found[last:])
+
+
+@pytest.mark.parametrize("spec", [COSMOS, OSMOSIS], ids=lambda s: s.name)
+def test_votes_are_dealt_by_voter_and_transaction_before_they_are_counted(spark, spec):
+    found = _stages(gov.voters_by_type(fixtures.chain_tables(spark, SF_DIR, spec), spec))
+    dealt = [x for x in found if x.startswith("Exchange") and "REPARTITION_BY_NUM" in x]
+    assert any(re.search(r"hashpartitioning\(date#\d+, type#\d+, voter#\d+, tx_id", x) for x in dealt)
