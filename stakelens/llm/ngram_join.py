@@ -217,56 +217,82 @@ def _dealt(docs: DataFrame, bins: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+def _by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one bin after the other, from rows in the order of bins."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bin"] != held[0]["bin"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _meetings(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signature, set and need of each set of each signature of a bin, in this order."""
+    keys, names, needs = [], [], []
+    for row in rows:
+        signs = np.frombuffer(row["signs"], np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(signs), 8), np.uint8)
+        wide[:, :6] = signs
+        keys.append(wide.view(T.U)[:, 0] | (T.U(row["bin"] & 0xFFFF) << T.U(48)))
+        member = np.frombuffer(row["member"], np.uint16)
+        names.append(np.frombuffer(row["sets"], T.U)[member])
+        needs.append(np.frombuffer(row["needs"], np.uint16)[member])
+    key, name, need = map(np.concatenate, (keys, names, needs))
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    return key[new], name[new], need[order[new]]
+
+
+def _merged(crowds: list[tuple]) -> list[tuple]:
+    """Crowds of one size (sets, times, needs), equal ones as one with the sum of its times."""
+    sets, times, needs = map(np.concatenate, zip(*crowds, strict=True))
+    order = np.lexsort(sets.T[::-1])
+    sets = sets[order]
+    first = np.flatnonzero(np.append(True, (sets[1:] != sets[:-1]).any(1)))
+    return [(sets[first], np.add.reduceat(times[order], first), needs[order[first]])]
+
+
 def _crowds(dealt: DataFrame, tasks: int, small: int) -> DataFrame:
-    """Which sets meet how many `times`: pairs of small crowds, and members (b) of large ones."""
+    """Which sets meet how many `times`: pairs of small crowds, and members (b) of large ones.
+
+    A task holds the signatures of one bin at a time, and the distinct small crowds of its bins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, needs = [], [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                signs = np.frombuffer(row["signs"], np.uint8).reshape(-1, 6)
-                wide = np.zeros((len(signs), 8), np.uint8)
-                wide[:, :6] = signs
-                keys.append(wide.view(T.U)[:, 0] | (T.U(row["bin"] & 0xFFFF) << T.U(48)))
-                member = np.frombuffer(row["member"], np.uint16)
-                names.append(np.frombuffer(row["sets"], T.U)[member])
-                needs.append(np.frombuffer(row["needs"], np.uint16)[member])
-        if not keys:
-            return
-        key, name, need = map(np.concatenate, (keys, names, needs))
-        del keys, names, needs
-        order = np.argsort(key)
-        key, name, need = key[order], name[order], need[order]
-        edge = np.flatnonzero(np.diff(key)) + 1
-        first, last = np.append(0, edge), np.append(edge, len(key))
-        pairs, out = {}, []
-        for a, b in zip(first[last - first > 1], last[last - first > 1], strict=True):
-            crowd, at = np.unique(name[a:b], return_index=True)
-            if len(crowd) < 2:
-                continue
-            if len(crowd) <= small:
-                mark = crowd.tobytes()
-                times, needed = pairs.get(mark, (0, None))
-                pairs[mark] = (times + 1, need[a:b][at])
-                continue
-            n = len(crowd)
-            columns = [np.zeros(n, T.U), crowd, np.full(n, key[a]), np.ones(n), np.zeros(n)]
-            out.append([*columns, need[a:b][at]])
-            if sum(len(x[0]) for x in out[-16:]) > 1 << 16 or len(out) > 1024:
-                yield _met(out)
-                out = []
-        for mark, (times, needed) in pairs.items():
-            crowd = np.frombuffer(mark, T.U)
-            i, j = np.triu_indices(len(crowd), 1)
-            fixed = [np.zeros(len(i), T.U), np.full(len(i), times)]
-            out.append([crowd[i], crowd[j], *fixed, needed[i], needed[j]])
-            if len(out) > 1024:
-                yield _met(out)
-                out = []
-        if out:
-            yield _met(out)
-
-    spread = dealt.repartition(tasks, "bin")
+        crowds: dict[int, list[tuple]] = {}  # by size
+        for rows in _by_bin(batches):
+            key, name, need = _meetings(rows)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(first, len(key)))
+            for k in np.unique(size[(size > 1) & (size <= small)]).tolist():
+                at = first[size == k][:, None] + np.arange(k)
+                mine = (name[at], np.ones(len(at), np.int64), need[at])
+                crowds[k] = _merged([*crowds.get(k, []), mine])
+            large = np.flatnonzero(np.repeat((size > 1) & (size > small), size))
+            for a in range(0, len(large), 1 << 16):
+                at = large[a : a + (1 << 16)]
+                n = len(at)
+                columns = [np.zeros(n, T.U), name[at], key[at], np.ones(n), np.zeros(n)]
+                yield _met([[*columns, need[at]]])
+        for k, [(sets, times, needs)] in crowds.items():
+            i, j = np.triu_indices(k, 1)
+            step = max(1, (1 << 16) // len(i))
+            for a in range(0, len(sets), step):
+                who, needed = sets[a : a + step], needs[a : a + step]
+                often = np.repeat(times[a : a + step], len(i))
+                fixed = [np.zeros(len(often), T.U), often]
+                ends = [who[:, i].ravel(), who[:, j].ravel()]
+                yield _met([[*ends, *fixed, needed[:, i].ravel(), needed[:, j].ravel()]])
+
+    # As many bins in each task, in the order of bins.
+    own = (F.col("bin") % tasks).cast("int")
+    spread = dealt.repartitionById(tasks, own).sortWithinPartitions("bin")
     return spread.mapInArrow(
         run, "a long, b long, crowd long, times long, need_a long, need_b long"
     )

@@ -524,3 +524,38 @@ def test_components_of_a_path_a_star_and_odd_edges(spark):
     want = {i: 1 for i in range(1, 41)} | {i: 50 for i in [*range(50, 80), 90]}
     assert len(found) == len({r.node for r in found})
     assert {r.node: r.label for r in found} == want | {299: 299, 300: 299}
+
+
+def test_a_task_of_the_join_takes_its_bins_one_at_a_time(spark):
+    tasks, bins = 4, 12
+    words = [" ".join(f"w{k}" for k in range(n, n + 30)) for n in range(0, 60, 2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(words * 2)], "doc_id long, text string")
+    dealt = ngram_join._dealt(docs, bins)
+    found = ngram_join._crowds(dealt, tasks, 2)
+    # Every task has as many bins, and their rows come in order.
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bin" not in text
+    assert "Sort [bin" in text
+    batch = pa.RecordBatch.from_pylist([{"bin": b} for b in (0, 0, 4, 8, 8, 8)])
+    held = ngram_join._by_bin(iter([batch.slice(0, 4), batch.slice(4)]))
+    assert [[r["bin"] for r in rows] for rows in held] == [[0, 0], [4], [8, 8, 8]]
+    # The meetings are those of all signatures, counted plainly.
+    meet = {}
+    for row in dealt.collect():
+        names = np.frombuffer(row["sets"], np.int64)[np.frombuffer(row["member"], np.uint16)]
+        signs = row["signs"]
+        for k, name in enumerate(names.tolist()):
+            meet.setdefault((row["bin"], signs[6 * k : 6 * k + 6]), set()).add(name)
+    pairs, members = Counter(), Counter()
+    for crowd in meet.values():
+        if len(crowd) == 2:
+            pairs[frozenset(crowd)] += 1
+        elif len(crowd) > 2:
+            members.update(crowd)
+    got_pairs, got_members = Counter(), Counter()
+    for row in found.collect():
+        if row["crowd"]:
+            got_members[row["b"]] += 1
+        else:
+            got_pairs[frozenset((row["a"], row["b"]))] += row["times"]
+    assert pairs and got_pairs == pairs and got_members == members
