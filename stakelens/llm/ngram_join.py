@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from stakelens.llm import textops as T
 from stakelens.llm.components import components
 from stakelens.llm.scratch import stored
+from stakelens.operators import presence
 
 WIDTH = 5
 GROUPS = 256
@@ -409,28 +410,39 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(spread.select("a", "b", "text").mapInArrow(run, "a long, b long"), "links")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """The pairs whose sizes (na, nb) and points (pa, pb) allow their sets to be similar."""
+def _near(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs of set ids whose sizes (na, nb) and `points` (id, point) allow similarity.
+
+    Only here do pairs meet points, which are many times as large: once for each pair of sets,
+    however many crowds it lies in, and after the sizes are compared.
+    """
+    near = pairs.filter(similar(F.least("na", "nb"), F.col("na"), F.col("nb")))
+    # The first end of a star is that of many pairs, so it is joined while rows are short.
+    for end in ("a", "b"):
+        own = points.select(F.col("id").alias(end), F.col("point").alias(f"p{end}"))
+        near = near.join(own, end)
     least = F.aggregate(
         F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x.cast("int")
     )
-    near = pairs.filter(similar(F.least("na", "nb"), F.col("na"), F.col("nb")))
-    return near.filter(may_be_similar(least, F.col("na"), F.col("nb")))
+    return near.filter(may_be_similar(least, F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of set ids, for pairs of names, whose counts allow them to be similar."""
+def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of set ids with their sizes, for pairs of names."""
     left, right = (
         sets.select(
-            F.col("d1").alias(end),
-            F.col("id").alias(f"i{end}"),
-            F.col("n").alias(f"n{end}"),
-            F.col("point").alias(f"p{end}"),
+            F.col("d1").alias(end), F.col("id").alias(f"i{end}"), F.col("n").alias(f"n{end}")
         )
         for end in "ab"
     )
     both = pairs.join(left, "a").join(right, "b").filter("ia != ib")
-    return _near(both).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    swap = F.col("ia") > F.col("ib")
+    return both.select(
+        F.least("ia", "ib").alias("a"),
+        F.greatest("ia", "ib").alias("b"),
+        F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
+        F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"),
+    )
 
 
 def _often_enough(pairs: DataFrame, often: DataFrame) -> DataFrame:
@@ -446,14 +458,14 @@ def _often_enough(pairs: DataFrame, often: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of the members of large crowds with the most central of them, if they are frequent.
+    """Pairs of members of large crowds with the most central of them, if frequent, and sizes.
 
     Central is what lies in most large crowds: the text that a crowd's others were copied from
     shares parts with all of them, while a copy's changed parts are its own. Only members of
     other components than the central one are paired. Which of these pairs are tried first
     does not change the result: what they leave apart is searched.
     """
-    central = F.max(F.struct("large", (-F.col("id")).alias("minus"), "id", "n", "point", "label"))
+    central = F.max(F.struct("large", (-F.col("id")).alias("minus"), "id", "n", "label"))
     first = members.groupBy("crowd").agg(central.alias("first"))
     pairs = members.join(first, "crowd").filter("label != first.label")
     pairs = pairs.groupBy(F.col("first.id").alias("a"), F.col("id").alias("b")).agg(
@@ -461,10 +473,8 @@ def _stars(members: DataFrame) -> DataFrame:
         F.min("need").alias("need"),
         F.first("n").alias("nb"),
         F.first("first.n").alias("na"),
-        F.first("point").alias("pb"),
-        F.first("first.point").alias("pa"),
     )
-    return _near(pairs.filter("times > 1 OR need <= 2")).select("a", "b")
+    return pairs.filter("times > 1 OR need <= 2").select("a", "b", "na", "nb")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -510,23 +520,19 @@ def classes(docs: DataFrame, small: int = SMALL) -> DataFrame:
     often = large.groupBy("b").agg(F.count(F.lit(1)).alias("large"), F.min("need").alias("need"))
     often = stored(often, "often")
     stay = often.filter("large >= need").select("b", "large")
-    members = large.join(stay, "b").join(
-        sets.select(F.col("d1").alias("b"), "id", "n", "point"), "b"
-    )
-    columns = ["crowd", "id", "n", "point", "need", "large", F.col("id").alias("label")]
+    members = large.join(stay, "b").join(sets.select(F.col("d1").alias("b"), "id", "n"), "b")
+    columns = ["crowd", "id", "n", "need", "large", F.col("id").alias("label")]
     members = stored(members.select(*columns), "members")
-    direct = stored(
-        _bounded(_often_enough(met.filter("crowd = 0"), often), sets).unionByName(
-            _stars(members)
-        ),
-        "direct",
-    )
+    points = sets.select("id", "point")
+    small_ones = _sized(_often_enough(met.filter("crowd = 0"), often), sets)
+    direct = stored(_near(small_ones.unionByName(_stars(members)), points), "direct")
     ends = [direct.select(F.col(c).alias("id")) for c in ("a", "b")]
     wanted = ends[0].unionByName(ends[1]).unionByName(members.select("id"))
-    named = sets.join(wanted.distinct(), "id", "left_semi").select("id", "td")
-    texts = (
-        _texts(docs).groupBy("td").agg(F.first("text").alias("text")).join(named, "td")
-    ).select("id", "text")
+    named = stored(sets.join(wanted.distinct(), "id", "left_semi").select("id", "td"), "wanted")
+    # Most texts are in no pair; a filter of their names drops nearly all before the shuffle.
+    asked = presence.probably_in(_texts(docs).select("td", "text"), "td", named, "td")
+    texts = asked.groupBy("td").agg(F.first("text").alias("text")).join(named, "td")
+    texts = texts.select("id", "text")
     texts = stored(texts, "candidates")
 
     links = _verified(direct, texts)
@@ -534,11 +540,12 @@ def classes(docs: DataFrame, small: int = SMALL) -> DataFrame:
     rest = members
     for _ in range(STARS):  # what the first star of a crowd has left, around its own centre
         rest = _others(rest)
-        links = links.unionByName(_verified(_stars(rest), texts))
-    members = _labelled(members, links).select("crowd", "id", "label", "n", "point")
+        links = links.unionByName(_verified(_near(_stars(rest), points), texts))
+    members = _labelled(members, links).select("crowd", "id", "label", "n")
+    members = stored(members, "apart")
     shares = F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).alias("shares")
     mixed = stored(members.groupBy("crowd").agg(shares), "mixed")
-    shared = members.join(mixed, "crowd").withColumn(
+    shared = members.join(mixed, "crowd").join(points, "id").withColumn(
         "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
     )
     shared = shared.repartition(tasks, "crowd", "share")

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 BATCH_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18  # hashed at once: sums and powers of a run take 32 times its bytes
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -110,11 +111,22 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     table = _salted(256, 1)
     if lower:
         table[65:91] = table[97:123]
-    up, down = _BYTE_POWERS.to(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(table[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
-    return Words(data, start, end, hashes, np.searchsorted(start, offsets))
+    hashes = np.empty(len(start), U)
+    a = 0
+    while a < len(start):
+        low = start[a]
+        b = int(np.searchsorted(start, low + BLOCK_BYTES))
+        hashes[a:b] = _spans(table[data[low : end[b - 1]]], start[a:b] - low, end[a:b] - low)
+        a = b
+    return Words(data, start, end, mix(hashes), np.searchsorted(start, offsets))
+
+
+def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial of the values of each span, plus its length; the same wherever it begins."""
+    up, down = _BYTE_POWERS.to(len(values) + 1)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return (sums[end] - sums[start]) * down[start] + (end - start).astype(U)
 
 
 def windows(hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:

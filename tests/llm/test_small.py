@@ -559,3 +559,41 @@ def test_a_task_of_the_join_takes_its_bins_one_at_a_time(spark):
         else:
             got_pairs[frozenset((row["a"], row["b"]))] += row["times"]
     assert pairs and got_pairs == pairs and got_members == members
+
+
+def test_words_are_hashed_in_blocks_of_bounded_memory(monkeypatch):
+    texts = ["ab c", None, "d" * 5000 + " e  f", "", "ab c " * 700]
+    [(_, data, offsets)] = textops.runs(pa.array(texts))
+    whole = textops.words(data, offsets, lower=True)
+    powers = textops._Powers(textops._BYTE_POWERS.base)
+    monkeypatch.setattr(textops, "_BYTE_POWERS", powers)
+    monkeypatch.setattr(textops, "BLOCK_BYTES", 64)
+    cut = textops.words(data, offsets, lower=True)
+    for field in ("start", "end", "hash", "first"):
+        assert np.array_equal(getattr(whole, field), getattr(cut, field))
+    # Powers are kept by a worker: a run of many words needs no more of them than a block.
+    textops.words(*[x for _, *x in textops.runs(pa.array(["ab c " * 40000]))][0])
+    assert len(powers.up) <= 1 << 16
+
+
+def test_members_of_crowds_are_stored_without_points(spark, monkeypatch):
+    """Points go with pairs of sets, not with each crowd of a set; texts are filtered first."""
+    kept, store = {}, ngram_join.stored
+
+    def noted(df, name):
+        kept.setdefault(name, []).append(
+            (df.columns, df._jdf.queryExecution().executedPlan().toString())
+        )
+        return store(df, name)
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*base[:-2], f"x{i}", f"y{i}"])) for i in range(24)]
+    rows += [(100 + i, " ".join(f"z{i}_{k}" for k in range(30))) for i in range(5)]
+    out = ngram_join.joined(make(spark, rows), small=4)
+    found = {r.doc_id: r.component_id for r in out.collect()}
+    assert found == {i: 0 for i in range(24)} | {100 + i: 100 + i for i in range(5)}
+    for name in ("members", "labelled", "apart"):
+        assert kept[name] and all("point" not in columns for columns, _ in kept[name])
+    [(_, plan)] = kept["candidates"]
+    assert "getbit" in plan
