@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stakelens import COSMOS, OSMOSIS
+from stakelens import AXELAR, COSMOS, OSMOSIS
 from stakelens.operators import flows
 from stakelens.plans import governance as gov
 from stakelens.plans import power
@@ -242,3 +242,17 @@ def test_votes_are_dealt_by_voter_and_transaction_before_they_are_counted(spark,
     found = _stages(gov.voters_by_type(fixtures.chain_tables(spark, SF_DIR, spec), spec))
     dealt = [x for x in found if x.startswith("Exchange") and "REPARTITION_BY_NUM" in x]
     assert any(re.search(r"hashpartitioning\(date#\d+, type#\d+, voter#\d+, tx_id", x) for x in dealt)
+
+
+@pytest.mark.parametrize(
+    "metric", [power.power_table, power.voting_power, power.power_share,
+               power.power_share_normalized, power.nakamoto], ids=lambda m: m.__name__
+)
+@pytest.mark.parametrize("spec", [AXELAR, OSMOSIS], ids=lambda s: s.name)
+def test_legs_running_stakes_and_levels_are_dealt_to_all_tasks(spark, metric, spec):
+    """Adaptive execution leaves these three shuffles alone, so their tasks stay small."""
+    found = _stages(metric(fixtures.chain_tables(spark, SF_DIR, spec, "staking"), spec))
+    dealt = [x for x in found if x.startswith("Exchange") and "REPARTITION_BY_NUM" in x]
+    for first in (r"block_timestamp#\d+, tx_id#\d+", r"salt#\d+L?,", r"days#\d+, slice#\d+"):
+        assert any(re.search(rf"hashpartitioning\({first}", x) for x in dealt), first
+    assert not any("REPARTITION_BY_COL" in x for x in found)
