@@ -238,3 +238,50 @@ def test_slices_never_fall_as_stakes_rise(spark):
     slices = [r[1] for r in df.select("cum", ranking._slice("cum")).collect()]
     assert slices == sorted(slices)
     assert len(set(slices)) > 1000
+
+
+def test_huge_amounts_below_zero_add_up_beside_small_ones(spark):
+    t = tables(
+        spark,
+        msg_attributes=attributes(
+            ("t", "unbond", "amount", "-1000000000000000uatom"),
+            ("t", "unbond", "amount", "-90000000000000000000000000000001uatom"),
+            ("t", "unbond", "amount", "-999999999999999uatom"),
+            ("t", "unbond", "amount", "7uatom"),
+            ("t", "unbond", "validator", "a"),
+            ("u", "unbond", "amount", "-2000000000000000uatom"),
+            ("u", "unbond", "validator", "b"),
+        ),
+    )
+    huge = 10**15 + 90_000_000_000_000_000_000_000_000_000_001 + 999_999_999_999_999 - 7
+    want = [("a", huge), ("b", 2 * 10**15)]
+    assert rows(power.stake_flows(t, TERRA), "validator", "flow") == want
+    legs = flows.attribute_legs(t.msg_attributes, TERRA.power_legs, "month")
+    added = legs.groupBy("validator").agg(F.sum("staked").alias("staked"))
+    assert rows(added, "validator", "staked") == want
+    both = flows.attribute_flows_both(
+        t.msg_attributes, TERRA.power_legs, TERRA.nakamoto_legs, "month"
+    )
+    assert rows(both, "validator", "flow", "flow_nakamoto") == [(v, n, n) for v, n in want]
+
+
+def test_entries_are_grouped_and_added_up_as_numbers(spark):
+    log = tables(spark, msg_attributes=attributes(("t", "delegate", "amount", "1uatom")))
+    entries = flows.attribute_entries(log.msg_attributes, COSMOS.power_legs)
+    assert dict(entries.dtypes)["size"] == "bigint"
+    many = [("t", "delegate", "amount", f"{10**15 - 1 - i}uatom") for i in range(9300)]
+    log = tables(spark, msg_attributes=attributes(("t", "delegate", "validator", "a"), *many))
+    whole = sum(10**15 - 1 - i for i in range(9300))
+    assert whole > 2**63
+    assert rows(power.stake_flows(log, COSMOS), "flow") == [(whole,)]
+
+
+def test_denominations_are_what_the_patterns_find(spark):
+    values = ["5uatom", "5.4ibc/A", "9", "", None, "12uionu", "3atom", "7u\nx", "7\ni", "é8ué\rx"]
+    values += ["1 u2 i", "4i\u0085u", "ui\nu", "u", "i", "6U", "\nu\n"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    by_pattern = [F.regexp_substr("value", F.lit(p)) for p in ("i.*", "u.*")]
+    for row in df.select("value", C.denomination("value"), F.coalesce(*by_pattern)).collect():
+        assert row[1] == row[2], row
+    text = df.select(C.denomination("value"))._jdf.queryExecution().toString()
+    assert "regexp" not in text
