@@ -26,6 +26,7 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the repetition rule keep."""
     scratch.ship(spark)
+    scratch.bound_batches(spark)
     return quality_rules.kept_rows(docs)
 
 
@@ -37,6 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by similarity, the one with the smallest id."""
     scratch.ship(spark)
+    scratch.bound_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -48,6 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens."""
     scratch.ship(spark)
+    scratch.bound_batches(spark)
     pieces = packing.packed(docs, TOKENIZER)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 

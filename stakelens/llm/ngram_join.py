@@ -166,7 +166,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in T.runs(batch.column("text")):
+            for row, data, offsets in T.runs(batch.column("text"), T.SMALL_RUN):
                 sets = _Sets(data, offsets)
                 some = batch.slice(row, sets.n)
                 d1, d2 = sets.digests()
@@ -180,7 +180,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "doc_id long, td binary, n long, d1 long, d2 long, point array<short>"
-    return _texts(docs).mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(T.released(run), schema)
 
 
 def _dealt(docs: DataFrame, bins: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _dealt(docs: DataFrame, bins: int) -> DataFrame:
 
     texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
     schema = "bin int, sets binary, needs binary, member binary, signs binary"
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(T.released(run), schema)
 
 
 def _by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -295,7 +295,7 @@ def _crowds(dealt: DataFrame, tasks: int, small: int) -> DataFrame:
     own = (F.col("bin") % tasks).cast("int")
     spread = dealt.repartitionById(tasks, own).sortWithinPartitions("bin")
     return spread.mapInArrow(
-        run, "a long, b long, crowd long, times long, need_a long, need_b long"
+        T.released(run), "a long, b long, crowd long, times long, need_a long, need_b long"
     )
 
 
@@ -388,7 +388,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             ids = list(zip(*(batch.column(c).to_pylist() for c in "ab"), strict=True))
             left, right = [], []
-            for row, data, offsets in T.runs(batch.column("text")):
+            for row, data, offsets in T.runs(batch.column("text"), T.SMALL_RUN):
                 sets = _Sets(data, offsets)
                 for k in range(sets.n):
                     a, b = ids[row + k]
@@ -407,7 +407,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = wanted.repartition(tasks, "a", "share").sortWithinPartitions("a", "share", "b")
-    return stored(spread.select("a", "b", "text").mapInArrow(run, "a long, b long"), "links")
+    found = spread.select("a", "b", "text").mapInArrow(T.released(run), "a long, b long")
+    return stored(found, "links")
 
 
 def _near(pairs: DataFrame, points: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stakelens.llm import textops as T
 from stakelens.llm.scratch import stored
 from stakelens.llm.tokens import encoder
 
@@ -138,7 +139,7 @@ def packed(
         yield from out.flush()
 
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = stored(texts.mapInArrow(pack, SCHEMA), "pieces")
+    pieces = stored(texts.mapInArrow(T.released(pack), SCHEMA), "pieces")
     left = pieces.filter("left_open").withColumn("bin", F.floor(F.col("part") / merge))
     columns = _NAMES[:7]
     merged = left.groupBy("bin").applyInArrow(_merger(capacity), SCHEMA)

@@ -118,7 +118,7 @@ class Rules(NamedTuple):
 
 def _verdicts(text: pa.Array, rules: Rules) -> Iterator[list]:
     """For runs of texts, the columns of `SCHEMA` after the id."""
-    for row, data, offsets in T.runs(text):
+    for row, data, offsets in T.runs(text, T.SMALL_RUN):
         words = T.words(data, offsets)
         best = longest_repeats(words)
         n, at = words.counts, np.arange(len(best))
@@ -159,7 +159,7 @@ def judged(df: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
                 at += n
 
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    return df.select(ids, "text").mapInArrow(judge, SCHEMA)
+    return df.select(ids, "text").mapInArrow(T.released(judge), SCHEMA)
 
 
 def kept_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
@@ -172,7 +172,7 @@ def kept_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(T.released(keep), df.schema)
 
 
 def _repeated_lines(text: str) -> int:

@@ -6,7 +6,8 @@ Hashes are polynomials modulo 2**64 with a mixed finish, equal on every machine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,11 +15,32 @@ import pyarrow as pa
 
 U = np.uint64
 BATCH_BYTES = 4 << 20
+SMALL_RUN = 1 << 20  # for steps whose arrays of a run take many times its bytes
 BLOCK_BYTES = 1 << 18  # hashed at once: sums and powers of a run take 32 times its bytes
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The function of a task, after which its worker gives freed memory back to the system.
+
+    Workers stay for later tasks. What they have freed would else still count as theirs while
+    another stage, perhaps without Python, needs the memory of the machine.
+    """
+
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finish of splitmix64: spreads every bit of x over the result."""
     x = x.astype(U, copy=True)

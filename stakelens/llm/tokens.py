@@ -14,7 +14,7 @@ import sys
 from array import array
 from functools import lru_cache
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 200_000  # some 200 bytes each, in every worker
 CACHED_LENGTH = 48
 # The pattern of byte-level pre-tokenizers.
 PATTERN = (

@@ -1,7 +1,10 @@
 """Each operator against a plain version on small tables: nulls, empty and repeated rows."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -597,3 +600,60 @@ def test_members_of_crowds_are_stored_without_points(spark, monkeypatch):
         assert kept[name] and all("point" not in columns for columns, _ in kept[name])
     [(_, plan)] = kept["candidates"]
     assert "getbit" in plan
+
+
+KEPT_MEMORY = """
+import random
+import pyarrow as pa
+from stakelens.llm import quality_rules
+
+class Rows:
+    schema = None
+    def mapInArrow(self, function, schema):
+        return function
+
+def own():
+    with open("/proc/self/smaps_rollup") as lines:
+        return sum(int(x.split()[1]) for x in lines if x.startswith("Pss_Anon:")) // 1024
+
+pick = random.Random(1)
+words = [f"w{i}" for i in range(9999)]
+texts = [" ".join(pick.choices(words, k=400)) for _ in range(4000)]
+given = (pa.RecordBatch.from_pydict({"text": texts[a : a + 2000]}) for a in (0, 2000))
+before = own()
+kept = sum(len(batch) for batch in quality_rules.kept_rows(Rows())(given))
+print(kept, own() - before)
+"""
+
+
+def test_a_task_gives_back_what_the_rules_have_needed():
+    if not os.path.exists("/proc/self/smaps_rollup"):
+        pytest.skip("tells nothing about memory")
+    root = os.path.dirname(corpus_pipeline.__file__)
+    told = subprocess.run(
+        [sys.executable, "-c", KEPT_MEMORY], cwd=root, capture_output=True, text=True, check=True
+    )
+    kept, mb = map(int, told.stdout.split())
+    assert kept == 4000
+    assert mb < 55
+
+
+def test_released_passes_batches_on_and_ends_with_its_function():
+    batches = [pa.RecordBatch.from_pydict({"x": [k, k]}) for k in range(3)]
+    assert list(textops.released(lambda given: (b.slice(1) for b in given))(iter(batches))) == [
+        b.slice(1) for b in batches
+    ]
+    assert list(textops.released(iter)(iter([]))) == []
+
+
+def test_batches_of_the_pipeline_are_bounded(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], DOC)
+    before = spark.conf.get(scratch.BATCH)
+    try:
+        for given, want in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            for stage in (corpus_pipeline.quality, corpus_pipeline.packed):
+                spark.conf.set(scratch.BATCH, given)
+                stage(spark, docs, str(tmp_path))
+                assert spark.conf.get(scratch.BATCH) == want
+    finally:
+        spark.conf.set(scratch.BATCH, before)
